@@ -1,13 +1,72 @@
-"""Documents to packed training sequences, in stages that each read what the last wrote."""
+"""Documents to packed training sequences, in stages that each read what the last wrote.
+
+Every stage takes (spark, docs, sf_dir) and works on all of docs, which is what its
+predecessor kept. All but the last return the columns of documents."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from statloom.llm.common import Scratch
+from statloom.llm.line_dedup import dedup_lines
+from statloom.llm.packing import pack_documents
+from statloom.llm.pii import replace_pii
+from statloom.llm.quality import quality_filter
+from statloom.llm.simhash import near_dedup
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _as_documents(docs: DataFrame) -> DataFrame:
+    """The columns of documents, with n_chars of the text as it is now."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def quality_rules(spark, docs, sf_dir):
+    """Documents that the quality rules reject go."""
+    return quality_filter(docs.select(*COLUMNS))
+
+
+def line_dedup(spark, docs, sf_dir):
+    """Lines that ten documents or more have go from all of them."""
+    return _as_documents(dedup_lines(docs, mode="frequent", min_docs=10, min_chars=1))
+
+
+def simhash_near_dedup(spark, docs, sf_dir):
+    """One document of each near-duplicate group stays."""
+    return near_dedup(docs, width=4, distance=4).select(*COLUMNS)
+
+
+def pii(spark, docs, sf_dir):
+    """Personal data and secrets become surrogates."""
+    return _as_documents(replace_pii(docs, n_entities=None))
+
+
+def best_fit_packing(spark, docs, sf_dir):
+    """Pieces of at most 1024 tokens and their places in sequences."""
+    import public_tokenizers
+
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("SimHash near-dedup", simhash_near_dedup),
+    ("PII", pii),
+    ("best-fit packing", best_fit_packing),
+]
+
+#: The stages on shingle hashes, surrogates and token ids are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
+    """All stages over documents: each but the last is written to the shared folder and
+    read again."""
+    scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = scratch.put(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

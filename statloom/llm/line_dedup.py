@@ -59,7 +59,9 @@ def keep_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mo
     marked = scratch.put(ranged(line_marks(docs, doc_id, text, min_chars)))
     per_key = marked.where("new_doc").groupBy("h1", "h2").agg(F.count("*").alias("n_docs"))
     if mode == "frequent":
-        gone = marked.select("h1", "h2", "doc", "pos").join(per_key.where(F.col("n_docs") >= min_docs).select("h1", "h2"), ["h1", "h2"])
+        # Written, so that the join deals both sides itself and Spark can split a key's rows.
+        frequent = scratch.put(per_key.where(F.col("n_docs") >= min_docs).select("h1", "h2"))
+        gone = marked.select("h1", "h2", "doc", "pos").join(frequent, ["h1", "h2"])
     elif mode == "first":
         # What isn't first in its run goes anyway; of the firsts, all but the least.
         lead = marked.where("first").groupBy("h1", "h2").agg(F.min(F.struct("doc", "pos")).alias("lead"), F.count("*").alias("n")).where("n > 1")
