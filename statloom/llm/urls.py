@@ -4,6 +4,8 @@ DataFrame functions only."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,9 +125,10 @@ def train(labelled: DataFrame, size: int = 4, dims: int = 4096, rounds: int = 30
     return w, bias
 
 
-def judge_urls(pages: DataFrame, labelled: DataFrame, rules=RULES, url: str = "url", size: int = 4, dims: int = 4096, **options) -> DataFrame:
+def judge_urls(pages: DataFrame, labelled: DataFrame, rules=RULES, url: str = "url", size: int = 4, dims: int = 4096, threshold: float = 0.6, **options) -> DataFrame:
     """``pages`` with host, path, rule (null if none fits), verdict (allow or block) and
-    block_score, the model's log-odds, which decide where no rule does.
+    block_score, the model's log-odds. Where no rule fits, a probability of at least
+    ``threshold`` blocks: above a half, as a wanted page lost costs more.
 
     Null and odd urls have empty host and path and are judged like others. Columns of
     those names are replaced."""
@@ -135,7 +138,7 @@ def judge_urls(pages: DataFrame, labelled: DataFrame, rules=RULES, url: str = "u
     parts = pages.select(*[c for c in pages.columns if c not in new], h.alias("host"), p.alias("path"))
     scored = parts.withColumn("block_score", _score(grams(F.col("host"), F.col("path"), size, dims), w, bias))
     ruled = scored.withColumn("rule", rule_for(F.col("host"), F.col("path"), rules))
-    by_model = F.when(F.col("block_score") > 0, "block").otherwise("allow")
+    by_model = F.when(F.col("block_score") >= math.log(threshold / (1 - threshold)), "block").otherwise("allow")
     return ruled.withColumn("verdict", F.coalesce(F.col("rule.verdict"), by_model)).withColumn("rule", F.col("rule.rule"))
 
 
