@@ -59,8 +59,9 @@ def fingerprints(docs: DataFrame, text: str = "text", width: int = 4, out: str =
 def grid_blocks(n: int, distance: int = 4, aim: int = 256) -> tuple[int, int]:
     """(blocks, equal): into how many blocks the segments are dealt and how many of
     them two fingerprints must share. Links touch at most ``distance`` blocks, so
-    any choice finds all of them; more blocks keep cells near ``aim`` members."""
-    for equal in range(1, 9):
+    any choice finds all of them; more blocks keep cells near ``aim`` members. Two
+    shared blocks at least: up to some ten million fingerprints the rows are 15 each."""
+    for equal in range(2, 9):
         blocks = distance + equal
         if n * _MEET ** (SEGMENTS * equal / blocks) <= aim:
             break
