@@ -1,14 +1,449 @@
-"""Every query of the engine itself, by name, and the SQL that it must equal."""
+"""Every query of the engine itself, by name, and the SQL that it must equal.
+
+Doubles are rounded to six decimals on both sides; orderings end in a unique key."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from statloom.functions import column
+from statloom.operators import combine, order, shape, summary
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark, d, name) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def r6(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(F.col(c), 6).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
+
+
+def _sum(expr: str) -> str:
+    return f"round({expr}, 6)"
+
+
+@query("""
+select l_returnflag, l_linestatus, 3::bigint as _TYPE_, count(*) as _FREQ_, count(l_quantity) as qty_n, round(sum(l_quantity), 6) as qty_sum,
+       round(avg(l_quantity), 6) as qty_mean, round(stddev_samp(l_quantity), 6) as qty_std, count(l_extendedprice) as price_n,
+       round(sum(l_extendedprice), 6) as price_sum, round(avg(l_extendedprice), 6) as price_mean, round(stddev_samp(l_extendedprice), 6) as price_std
+from lineitem where l_shipdate <= timestamp '1998-09-02' group by all""")
+def means_nway(spark, d):
+    li = t(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_shipdate", F.col("l_quantity").alias("qty"), F.col("l_extendedprice").alias("price"))
+    out = summary.means(li, ["qty", "price"], ("n", "sum", "mean", "std"), ["l_returnflag", "l_linestatus"], nway=True, where=F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp"))
+    return r6(out.withColumn("qty_n", F.col("qty_n").cast("long")).withColumn("price_n", F.col("price_n").cast("long")))
+
+
+@query("""
+select o_orderstatus, o_orderpriority, (3 - grouping(o_orderstatus, o_orderpriority))::bigint as _TYPE_, count(*) as _FREQ_,
+       round(avg(o_totalprice), 6) as x_mean, round(max(o_totalprice), 6) as x_max
+from orders group by cube (o_orderstatus, o_orderpriority)""")
+def means_cube_type(spark, d):
+    x = t(spark, d, "orders").select("o_orderstatus", "o_orderpriority", F.col("o_totalprice").alias("x"))
+    return r6(summary.means(x, ["x"], ("mean", "max"), ["o_orderstatus", "o_orderpriority"]))
+
+
+@query("""
+select o_orderstatus, o_orderpriority, (3 - grouping(o_orderstatus, o_orderpriority))::bigint as _TYPE_, count(*) as _FREQ_, round(sum(o_totalprice), 6) as x_sum
+from orders group by grouping sets ((o_orderstatus), (o_orderpriority))""")
+def means_ways(spark, d):
+    x = t(spark, d, "orders").select("o_orderstatus", "o_orderpriority", F.col("o_totalprice").alias("x"))
+    return r6(summary.means(x, ["x"], ("sum",), ["o_orderstatus", "o_orderpriority"], ways=[1]))
+
+
+@query("""
+select l_returnflag, 1::bigint as _TYPE_, count(*) as _FREQ_,
+  round(skewness(l_quantity), 6) as x_skewness,
+  round((count(*) - 1.0) / ((count(*) - 2.0) * (count(*) - 3.0)) * ((count(*) + 1.0) * kurtosis_pop(l_quantity) + 6), 6) as x_kurtosis,
+  round(stddev_samp(l_quantity) / sqrt(count(*)), 6) as x_stderr, round(100 * stddev_samp(l_quantity) / avg(l_quantity), 6) as x_cv,
+  round(sum(l_quantity * l_quantity), 6) as x_uss, round(max(l_quantity) - min(l_quantity), 6) as x_range
+from lineitem group by 1""")
+def means_moments(spark, d):
+    x = t(spark, d, "lineitem").select("l_returnflag", F.col("l_quantity").alias("x"))
+    return r6(summary.means(x, ["x"], ("skewness", "kurtosis", "stderr", "cv", "uss", "range"), ["l_returnflag"], nway=True))
+
+
+@query("""
+select l_returnflag, 1::bigint as _TYPE_, count(*) as _FREQ_, round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 6) as x_mean, round(sum(l_quantity), 6) as x_sumwgt
+from lineitem group by 1""")
+def means_weight(spark, d):
+    x = t(spark, d, "lineitem").select("l_returnflag", "l_quantity", F.col("l_extendedprice").alias("x"))
+    return r6(summary.means(x, ["x"], ("mean", "sumwgt"), ["l_returnflag"], nway=True, weight="l_quantity"))
+
+
+@query("""
+with s as (select l_returnflag, l_extendedprice x, row_number() over (partition by l_returnflag order by l_extendedprice) i, count(*) over (partition by l_returnflag) n from lineitem),
+p as (select * from (values (0.25, 'q1'), (0.5, 'median'), (0.75, 'q3'), (0.9, 'p90')) v(p, name)),
+v as (select l_returnflag, name, avg(x) x from s, p where i = ceil(n * p - 1e-9) or (abs(n * p - round(n * p)) < 1e-9 and i = round(n * p) + 1) group by 1, 2)
+select l_returnflag, 1::bigint as _TYPE_, (select count(*) from lineitem l where l.l_returnflag = v.l_returnflag) as _FREQ_, round(max(case when name = 'q1' then x end), 6) as x_q1, round(max(case when name = 'median' then x end), 6) as x_median,
+       round(max(case when name = 'q3' then x end), 6) as x_q3, round(max(case when name = 'p90' then x end), 6) as x_p90
+from v group by 1""")
+def percentile_def5(spark, d):
+    x = t(spark, d, "lineitem").select("l_returnflag", F.col("l_extendedprice").alias("x"))
+    return r6(summary.means(x, ["x"], ("q1", "median", "q3", "p90"), ["l_returnflag"], nway=True))
+
+
+@query("""
+select o_orderpriority, count(*)::double as COUNT, round(100.0 * count(*) / sum(count(*)) over (), 6) as PERCENT,
+       (sum(count(*)) over (order by o_orderpriority))::double as CUM_FREQ, round(100.0 * sum(count(*)) over (order by o_orderpriority) / sum(count(*)) over (), 6) as CUM_PCT
+from orders group by 1""")
+def freq_oneway_outcum(spark, d):
+    return r6(summary.freq(t(spark, d, "orders"), ["o_orderpriority"], outcum=True))
+
+
+@query("""
+with c as (select l_returnflag r, l_linestatus s, count(*)::double n from lineitem group by 1, 2)
+select r as l_returnflag, s as l_linestatus, n as COUNT, round(100 * n / sum(n) over (), 6) as PERCENT, round(100 * n / sum(n) over (partition by r), 6) as PCT_ROW,
+       round(100 * n / sum(n) over (partition by s), 6) as PCT_COL, round(sum(n) over (partition by r) * sum(n) over (partition by s) / sum(n) over (), 6) as EXPECTED from c""")
+def freq_twoway_pct(spark, d):
+    return r6(summary.crosstab(t(spark, d, "lineitem"), "l_returnflag", "l_linestatus"))
+
+
+@query("select event_type, user_id, event_id from (select *, row_number() over (partition by event_type, user_id order by event_id) k from events) where k = 1")
+def sort_nodupkey(spark, d):
+    return order.nodupkey(t(spark, d, "events").select("event_type", "user_id", "event_id"), ["event_type", "user_id"], ["event_id"])[0]
+
+
+@query("select event_type, user_id, event_id from (select *, row_number() over (partition by event_type, user_id order by event_id) k from events) where k > 1")
+def sort_dupout(spark, d):
+    return order.nodupkey(t(spark, d, "events").select("event_type", "user_id", "event_id"), ["event_type", "user_id"], ["event_id"])[1]
+
+
+@query("""
+select event_id, user_id, event_type, (row_number() over (partition by user_id order by event_type, event_id) = 1)::int as first_user_id,
+  (row_number() over (partition by user_id order by event_type desc, event_id desc) = 1)::int as last_user_id,
+  (row_number() over (partition by user_id, event_type order by event_id) = 1)::int as first_event_type, (row_number() over (partition by user_id, event_type order by event_id desc) = 1)::int as last_event_type
+from events""")
+def first_last_flags(spark, d):
+    return order.by_flags(t(spark, d, "events").select("event_id", "user_id", "event_type"), ["user_id", "event_type"], ["event_id"])
+
+
+@query("select event_id, user_id, round(sum(coalesce(value, 0)) over (partition by user_id order by event_id), 6) as total from events")
+def retain_running_total(spark, d):
+    return r6(order.accumulate(t(spark, d, "events").select("event_id", "user_id", "value"), "total", F.col("value"), ["user_id"], ["event_id"])).select("event_id", "user_id", "total")
+
+
+@query("""select event_id, user_id, round(lag(value) over w, 6) as lag1, round(lag(value, 2) over w, 6) as lag2, round(value - lag(value) over w, 6) as dif1 from events window w as (partition by user_id order by event_id)""")
+def lag_dif(spark, d):
+    e = t(spark, d, "events").select("event_id", "user_id", "value")
+    out = order.dif(order.lag(order.lag(e, "lag1", "value", ["user_id"], ["event_id"]), "lag2", "value", ["user_id"], ["event_id"], 2), "dif1", "value", ["user_id"], ["event_id"])
+    return r6(out.drop("value"))
+
+
+@query("""select event_id, user_id, case when event_type = 'click' then round(lag(value) over (partition by user_id, event_type = 'click' order by event_id), 6) end as lag1 from events""")
+def lag_conditional(spark, d):
+    e = t(spark, d, "events").select("event_id", "user_id", "event_type", "value")
+    return r6(order.lag(e, "lag1", "value", ["user_id"], ["event_id"], when=F.col("event_type") == "click").select("event_id", "user_id", "lag1"))
+
+
+@query("""
+select coalesce(c.c_custkey, o.o_custkey) as custkey, c_name, o_orderkey, (c.c_custkey is not null)::int as in_c, (o.o_custkey is not null)::int as in_o
+from customer c full join orders o on c.c_custkey = o.o_custkey""")
+def merge_by_inflags(spark, d):
+    c = t(spark, d, "customer").select(F.col("c_custkey").alias("custkey"), "c_name")
+    o = t(spark, d, "orders").select(F.col("o_custkey").alias("custkey"), "o_orderkey")
+    return combine.merge_by({"c": c, "o": o}, ["custkey"], {"c": ["c_name"], "o": ["o_orderkey"]}).drop("__n")
+
+
+@query("""
+with a as (select event_type k, event_id x, row_number() over (partition by event_type order by event_id) n from events where event_id % 7 = 0),
+b as (select event_type k, event_id y, row_number() over (partition by event_type order by event_id) n from events where event_id % 11 = 0),
+g as (select k, max(n) m from (select k, n from a union all select k, n from b) group by k), ca as (select k, max(n) m from a group by k), cb as (select k, max(n) m from b group by k),
+s as (select g.k, unnest(generate_series(1, g.m)) n from g)
+select s.k, a.x, b.y from s left join ca on ca.k = s.k left join cb on cb.k = s.k left join a on a.k = s.k and a.n = least(s.n, ca.m) left join b on b.k = s.k and b.n = least(s.n, cb.m)""")
+def merge_by_many_to_many(spark, d):
+    e = t(spark, d, "events")
+    a = e.where("event_id % 7 = 0").select(F.col("event_type").alias("k"), F.col("event_id").alias("x"))
+    b = e.where("event_id % 11 = 0").select(F.col("event_type").alias("k"), F.col("event_id").alias("y"))
+    return combine.merge_by({"a": a, "b": b}, ["k"], {"a": ["x"], "b": ["y"]}, flags=False).drop("__n")
+
+
+@query("""
+with s as (select s_suppkey, s_name, row_number() over (order by s_suppkey) n from supplier), c as (select c_custkey, c_name, row_number() over (order by c_custkey) n from customer)
+select s_suppkey, s_name, c_custkey, c_name from s full join c using (n)""")
+def merge_noby(spark, d):
+    s, c = t(spark, d, "supplier").select("s_suppkey", "s_name"), t(spark, d, "customer").select("c_custkey", "c_name")
+    return combine.merge_positional(s, c, order=[["s_suppkey"], ["c_custkey"]]).drop("__n")
+
+
+@query("""
+with s as (select s_suppkey, s_name, row_number() over (order by s_suppkey) n from supplier), c as (select c_custkey, c_name, row_number() over (order by c_custkey) n from customer)
+select s_suppkey, s_name, c_custkey, c_name from s join c using (n)""")
+def set_one_to_one(spark, d):
+    s, c = t(spark, d, "supplier").select("s_suppkey", "s_name"), t(spark, d, "customer").select("c_custkey", "c_name")
+    return combine.one_to_one(s, c, order=[["s_suppkey"], ["c_custkey"]]).drop("__n")
+
+
+@query("""select s_nationkey as nation, s_name as name, s_acctbal as bal, null::varchar as segment, 0 as src from supplier union all select c_nationkey, c_name, null, c_mktsegment, 1 from customer""")
+def set_interleave(spark, d):
+    s = t(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("bal"))
+    c = t(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    return combine.interleave(["nation"], s, c).select("nation", "name", "bal", "segment", F.col("__src").alias("src"))
+
+
+@query("""
+with tr as (select o_custkey k, arg_max(o_totalprice, o_orderkey) b from orders group by 1)
+select coalesce(c_custkey, k) as custkey, c_name, coalesce(b, c_acctbal) as bal from customer full join tr on c_custkey = k""")
+def update_overlay(spark, d):
+    m = t(spark, d, "customer").select(F.col("c_custkey").alias("custkey"), "c_name", F.col("c_acctbal").alias("bal"))
+    tr = t(spark, d, "orders").select(F.col("o_custkey").alias("custkey"), "o_orderkey", F.col("o_totalprice").alias("bal"))
+    return combine.update(m, tr, ["custkey"], ["o_orderkey"])
+
+
+@query("""
+with tr as (select o_custkey k, arg_max(o_totalprice, o_orderkey) b from orders group by 1)
+select c_custkey as custkey, c_name, coalesce(b, c_acctbal) as bal from customer left join tr on c_custkey = k""")
+def modify_matched(spark, d):
+    m = t(spark, d, "customer").select(F.col("c_custkey").alias("custkey"), "c_name", F.col("c_acctbal").alias("bal"))
+    tr = t(spark, d, "orders").select(F.col("o_custkey").alias("custkey"), "o_orderkey", F.col("o_totalprice").alias("bal"))
+    return combine.modify(m, tr, ["custkey"], ["o_orderkey"])
+
+
+@query("""select p_partkey, n as point, c_name from (select p_partkey, p_size n from part) left join (select c_name, row_number() over (order by c_custkey) k from customer) on k = n""")
+def set_point_lookup(spark, d):
+    p = t(spark, d, "part").select("p_partkey", F.col("p_size").alias("point"))
+    return combine.point_lookup(p, t(spark, d, "customer").select("c_custkey", "c_name"), "point", ["c_custkey"]).select("p_partkey", "point", "c_name")
+
+
+@query("""select o_orderkey, c_mktsegment as segment, case when c_custkey is null then 160038 else 0 end as rc from orders left join (select * from customer where c_acctbal > 0) on c_custkey = o_custkey""")
+def hash_find(spark, d):
+    o = t(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("k"))
+    c = t(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("segment"))
+    return combine.hash_find(o, c, ["k"], ["segment"], ["segment"]).select("o_orderkey", "segment", "rc")
+
+
+@query("""select l_orderkey, l_linenumber, name as _NAME_, value as COL1 from (unpivot (select l_orderkey, l_linenumber, l_quantity, l_discount, l_tax from lineitem) on l_quantity, l_discount, l_tax into name name value value)""")
+def transpose_long(spark, d):
+    x = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax")
+    return shape.transpose_long(x, ["l_orderkey", "l_linenumber"], ["l_quantity", "l_discount", "l_tax"])
+
+
+@query("""
+with a as (select user_id, event_type, arg_max(value, event_id) v from events group by 1, 2)
+select user_id, 'value' as _NAME_, max(case when event_type = 'click' then v end) as e_click, max(case when event_type = 'view' then v end) as e_view from a group by 1""")
+def transpose_wide(spark, d):
+    e = t(spark, d, "events").select("user_id", "event_type", "event_id", "value")
+    return shape.transpose_wide(e, ["user_id"], "event_type", ["value"], ["event_id"], levels=["click", "view"], prefix="e_", let=True)
+
+
+@query("select p_partkey, p_size, avg(k) over (partition by p_size) as r from (select p_partkey, p_size, row_number() over (order by p_size) k from part)")
+def rank_mean_ties(spark, d):
+    return shape.rank(t(spark, d, "part").select("p_partkey", "p_size"), "p_size", "r").select("p_partkey", "p_size", "r")
+
+
+@query("""
+with k as (select p_partkey, p_size, row_number() over (order by p_size) k, count(*) over () n from part)
+select p_partkey, floor(avg(k) over (partition by p_size) * 10 / (n + 1)) as g from k""")
+def rank_groups(spark, d):
+    return shape.rank(t(spark, d, "part").select("p_partkey", "p_size"), "p_size", "g", groups=10).select("p_partkey", "g")
+
+
+@query("""select p_partkey, (rank() over (partition by p_brand order by p_size desc))::double as lo, (dense_rank() over (partition by p_brand order by p_size))::double as dense from part""")
+def rank_low_dense_by(spark, d):
+    p = t(spark, d, "part").select("p_partkey", "p_brand", "p_size")
+    a = shape.rank(p, "p_size", "lo", ["p_brand"], ties="low", descending=True)
+    return shape.rank(a, "p_size", "dense", ["p_brand"], ties="dense").select("p_partkey", "lo", "dense")
+
+
+@query("""select l_orderkey, l_linenumber, round((l_quantity - avg(l_quantity) over (partition by l_returnflag)) / stddev_samp(l_quantity) over (partition by l_returnflag), 6) as l_quantity from lineitem""")
+def standard_z(spark, d):
+    x = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
+    return r6(shape.standardise(x, ["l_quantity"], ["l_returnflag"], 0, 1)).select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("""
+select coalesce(case when c.k is null then 'BASE' when b.k is null then 'COMPARE' end, 'DIF') as _TYPE_, coalesce(b.k, c.k) as k, b.x as base_x, c.x as comp_x, c.x - b.x as dif_x
+from (select o_orderkey k, o_totalprice x from orders where o_orderkey % 5 <> 0) b full join (select o_orderkey k, case when o_orderkey % 3 = 0 then o_totalprice + 1 else o_totalprice end x from orders where o_orderkey % 4 <> 0) c on b.k = c.k
+where b.k is null or c.k is null or b.x <> c.x""")
+def compare_diff(spark, d):
+    o = t(spark, d, "orders")
+    b = o.where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("x"))
+    c = o.where("o_orderkey % 4 <> 0").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")).alias("x"))
+    return shape.compare(b, c, ["k"], ["x"])
+
+
+@query("select o_orderkey, o_custkey, o_totalprice, round(o_totalprice / sum(o_totalprice) over (partition by o_custkey), 6) as share from orders")
+def sql_remerge(spark, d):
+    o = t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return r6(summary.remerge(o, ["o_custkey"], {"s": "sum(o_totalprice)"}).select("o_orderkey", "o_custkey", "o_totalprice", (F.col("o_totalprice") / F.col("s")).alias("share")))
+
+
+@query("select n_nationkey, n_name, null::varchar as r_name, n_regionkey as regionkey from nation union all select null, null, r_name, r_regionkey from region")
+def sql_outer_union_corr(spark, d):
+    a = t(spark, d, "nation").select("n_nationkey", "n_name", F.col("n_regionkey").alias("regionkey"))
+    b = t(spark, d, "region").select("r_name", F.col("r_regionkey").alias("regionkey"))
+    return shape.set_operation("outer union", a, b, corr=True).select("n_nationkey", "n_name", "r_name", "regionkey")
+
+
+@query("select c_nationkey as k from customer except all select s_nationkey from supplier")
+def sql_except_all(spark, d):
+    return shape.set_operation("except", t(spark, d, "customer").select(F.col("c_nationkey").alias("k")), t(spark, d, "supplier").select(F.col("s_nationkey").alias("k")), all_=True)
+
+
+@query("select c_nationkey as k from customer intersect all select s_nationkey from supplier")
+def sql_intersect_all(spark, d):
+    return shape.set_operation("intersect", t(spark, d, "customer").select(F.col("c_nationkey").alias("k")), t(spark, d, "supplier").select(F.col("s_nationkey").alias("k")), all_=True)
+
+
+@query("select n_regionkey as k from nation union select r_regionkey from region")
+def sql_union_distinct(spark, d):
+    return shape.set_operation("union", t(spark, d, "nation").select(F.col("n_regionkey").alias("k")), t(spark, d, "region").select(F.col("r_regionkey").alias("k")))
+
+
+@query("""select o_orderkey from orders where o_totalprice > all (select c_acctbal from customer) union all select o_orderkey + 1000000000 from orders where o_totalprice < any (select s_acctbal from supplier)""")
+def sql_quantified_any_all(spark, d):
+    o = t(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    a = shape.quantified(o, "o_totalprice", ">", t(spark, d, "customer"), "c_acctbal", "all").select("o_orderkey")
+    b = shape.quantified(o, "o_totalprice", "<", t(spark, d, "supplier"), "s_acctbal", "any").select((F.col("o_orderkey") + 1000000000).alias("o_orderkey"))
+    return a.union(b)
+
+
+@query("""select c_custkey, 'semi' as kind from customer where exists (select 1 from orders where o_custkey = c_custkey) union all select c_custkey, 'anti' from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null)""")
+def sql_semi_anti(spark, d):
+    c, o = t(spark, d, "customer").select("c_custkey"), t(spark, d, "orders").select("o_custkey")
+    on = c["c_custkey"].eqNullSafe(o["o_custkey"])
+    return c.join(o, on, "left_semi").select("c_custkey", F.lit("semi").alias("kind")).union(c.join(o, on, "left_anti").select("c_custkey", F.lit("anti").alias("kind")))
+
+
+@query("select l_orderkey, l_linenumber, case when l_quantity < 10 then 'low' when l_quantity < 30 then 'mid' else 'high' end as band, case l_returnflag when 'A' then 1 when 'N' then 2 end as code from lineitem")
+def sql_case(spark, d):
+    li = t(spark, d, "lineitem")
+    return li.select("l_orderkey", "l_linenumber", F.when(F.col("l_quantity") < 10, "low").when(F.col("l_quantity") < 30, "mid").otherwise("high").alias("band"), F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 2).alias("code"))
+
+
+@query("select c_nationkey, count(*) as n, round(avg(c_acctbal), 6) as bal from customer group by 1 having count(*) > 50")
+def sql_having(spark, d):
+    return r6(t(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"), F.avg("c_acctbal").alias("bal")).where("n > 50"))
+
+
+@query("""select n_name, s_name, r_name from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey""")
+def sql_join3(spark, d):
+    s, n, r = t(spark, d, "supplier"), t(spark, d, "nation"), t(spark, d, "region")
+    return s.join(n, s["s_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"]).select("n_name", "s_name", "r_name")
+
+
+@query("""select p_partkey, case when p_size between 1 and 10 then 'small' when p_size > 10 and p_size <= 30 then 'medium' when p_size > 30 then 'large' else 'none' end as size_group from part""")
+def format_ranges(spark, d):
+    from statloom.formats import UserFormat
+    from statloom.plans.formatting import format_column
+
+    fmt = UserFormat("sizes", [(1, 10, False, False, "small"), (10, 30, True, False, "medium"), (30, None, True, False, "large")], other="none")
+    return t(spark, d, "part").select("p_partkey", format_column(F.col("p_size").cast("double"), fmt).alias("size_group"))
+
+
+@query("""select o_orderkey, ((year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 6)::double as months from orders""")
+def intck_month(spark, d):
+    from statloom.plans.intervals import intck, sas_date
+
+    start = F.lit(12949.0)  # 15 June 1995
+    return t(spark, d, "orders").select("o_orderkey", intck("month", start, sas_date(F.col("o_orderdate"))).alias("months"))
+
+
+@query("""select o_orderkey, date_diff('day', date '1960-01-01', last_day((o_orderdate::date + interval 1 month)::date))::double as month_end from orders""")
+def intnx_end(spark, d):
+    from statloom.plans.intervals import intnx, sas_date
+
+    return t(spark, d, "orders").select("o_orderkey", intnx("month", sas_date(F.col("o_orderdate")), 1, "end").alias("month_end"))
+
+
+@query("""select p_partkey, array_to_string(list_filter([trim(p_brand), trim(p_type), trim(p_name)], x -> x <> ''), '-') as s from part""")
+def fn_catx(spark, d):
+    return t(spark, d, "part").select("p_partkey", column("CATX", F.lit("-"), F.col("p_brand"), F.col("p_type"), F.col("p_name")).alias("s"))
+
+
+@query("""select p_partkey, coalesce(list_filter(string_split_regex(p_type, '[ .<(+&!$*);^/,%|-]+'), x -> x <> '')[2], '') as w, length(rtrim(p_type))::double as n, upper(p_type) as u from part""")
+def fn_scan(spark, d):
+    from statloom.functions.catalog import by_kernel
+
+    p = t(spark, d, "part")
+    return p.select("p_partkey", by_kernel("SCAN", F.col("p_type"), F.lit(2.0)).alias("w"), column("LENGTH", F.col("p_type")).alias("n"), column("UPCASE", F.col("p_type")).alias("u"))
+
+
+@query("""select l_orderkey, l_linenumber, round(l_quantity / 7.0)::double as r, l_extendedprice - 7 * trunc(l_extendedprice / 7) as m_raw, floor(l_extendedprice) as f, sqrt(l_quantity) as s from lineitem""")
+def fn_numeric(spark, d):
+    li = t(spark, d, "lineitem")
+    q, x = F.col("l_quantity"), F.col("l_extendedprice")
+    return li.select("l_orderkey", "l_linenumber", column("ROUND", q / 7).alias("r"), (x - 7 * column("INTZ", x / 7)).alias("m_raw"), column("FLOORZ", x).alias("f"), column("SQRT", q).alias("s"))
+
+
+@query("""select round(corr(l_quantity, l_extendedprice), 6) as r, round(regr_count(l_quantity, l_extendedprice), 6)::bigint as n from lineitem""")
+def corr_pearson(spark, d):
+    from statloom.operators.correlation import pearson
+
+    return pearson(t(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"]).where("x = 'l_quantity' and y = 'l_extendedprice'").select(F.round("r", 6).alias("r"), "n")
+
+
+@query("""
+with k as (select l_quantity x, l_discount y from lineitem), rx as (select x, sum(count(*)) over (order by x) - (count(*) - 1) / 2.0 r from k group by x), ry as (select y, sum(count(*)) over (order by y) - (count(*) - 1) / 2.0 r from k group by y)
+select round(corr(rx.r, ry.r), 6) as r from k join rx using (x) join ry using (y)""")
+def corr_spearman(spark, d):
+    from statloom.operators.correlation import spearman
+
+    return spearman(t(spark, d, "lineitem"), "l_quantity", "l_discount").select(F.round("r", 6).alias("r"))
+
+
+@query("""
+with c as (select l_returnflag r, l_linestatus s, count(*)::double n from lineitem group by 1, 2), e as (select a.r, b.s, a.n * b.n / (select sum(n) from c) e from (select r, sum(n) n from c group by r) a, (select s, sum(n) n from c group by s) b)
+select round(sum((coalesce(n, 0) - e) * (coalesce(n, 0) - e) / e), 4) as chisq, 2::bigint as df from e left join c using (r, s)""")
+def chisq(spark, d):
+    from statloom.operators.tables import association
+
+    return association(t(spark, d, "lineitem"), "l_returnflag", "l_linestatus").where("statistic = 'Chi-Square'").select(F.round("value", 4).alias("chisq"), F.col("df").cast("long").alias("df"))
+
+
+@query("""select o_orderstatus, o_orderpriority, count(*)::double as n, round(100.0 * count(*) / (select count(*) from orders), 6) as pctn from orders group by cube (o_orderstatus, o_orderpriority)""")
+def tabulate_all(spark, d):
+    return r6(summary.tabulate(t(spark, d, "orders"), ["o_orderstatus"], ["o_orderpriority"], None, ("n", "pctn"), True, True))
+
+
+@query("""
+select n_regionkey, n_name, case when grouping(n_regionkey) = 1 then '_RBREAK_' when grouping(n_name) = 1 then 'n_regionkey' else '' end as _BREAK_, round(sum(c_acctbal), 6) as c_acctbal
+from customer join nation on c_nationkey = n_nationkey group by rollup (n_regionkey, n_name)""")
+def report_breaks(spark, d):
+    c, n = t(spark, d, "customer"), t(spark, d, "nation")
+    j = c.join(n, c["c_nationkey"] == n["n_nationkey"])
+    return r6(summary.report(j, ["n_regionkey", "n_name"], {"c_acctbal": "sum"}, ["n_regionkey"], rbreak=True))
+
+
+@query("select user_id, count(*) as n, round(sum(coalesce(value, 0)), 6) as total from events group by 1")
+def dow_loop(spark, d):
+    e = t(spark, d, "events")
+    return r6(e.groupBy("user_id").agg(F.count("*").alias("n"), F.sum(F.coalesce("value", F.lit(0.0))).alias("total")))
+
+
+@query("select o_orderkey, row_number() over (order by o_totalprice, o_orderkey) as n from orders")
+def monotonic_number(spark, d):
+    return order.row_numbers(t(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"], "n").select("o_orderkey", "n")
+
+
+@query("select o_orderkey from (select o_orderkey, row_number() over (order by o_orderkey) n from orders) where n between 101 and 250")
+def obs_slice(spark, d):
+    return order.slice_rows(t(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], 101, 250)
+
 
-def means_nway(spark, sf_dir):
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp"))
-    return li.groupBy("l_returnflag", "l_linestatus").agg(F.count("l_quantity").alias("n_qty"), F.sum("l_quantity").alias("sum_qty"))
+@query("""select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 10""")
+def sql_outobs_top(spark, d):
+    return t(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(10)
 
 
-QUERIES = {"means_nway": means_nway}
-ORACLE_SQL = {"means_nway": "select l_returnflag, l_linestatus, count(l_quantity) as n_qty, sum(l_quantity) as sum_qty from lineitem where l_shipdate <= timestamp '1998-09-02' group by all"}
+@query("""
+select o_custkey, o_orderkey, run from (select o_custkey, o_orderkey, sum(chg) over (partition by o_custkey order by o_orderkey) as run from
+ (select o_custkey, o_orderkey, (coalesce(lag(o_orderstatus) over (partition by o_custkey order by o_orderkey) <> o_orderstatus, true))::int as chg from orders))""")
+def by_notsorted_runs(spark, d):
+    o = t(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    change = F.when(F.lag("o_orderstatus").over(w).eqNullSafe(F.col("o_orderstatus")), 0).otherwise(1)
+    return o.withColumn("c", change).select("o_custkey", "o_orderkey", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("run"))
