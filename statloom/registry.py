@@ -359,12 +359,12 @@ def intnx_end(spark, d):
     return t(spark, d, "orders").select("o_orderkey", intnx("month", sas_date(F.col("o_orderdate")), 1, "end").alias("month_end"))
 
 
-@query("""select p_partkey, array_to_string(list_filter([trim(p_brand), trim(p_type), trim(p_name)], x -> x <> ''), '-') as s from part""")
+@query("""select p_partkey, array_to_string(list_filter([trim(p_brand), trim(p_type), trim(p_name)], lambda x: x <> ''), '-') as s from part""")
 def fn_catx(spark, d):
     return t(spark, d, "part").select("p_partkey", column("CATX", F.lit("-"), F.col("p_brand"), F.col("p_type"), F.col("p_name")).alias("s"))
 
 
-@query("""select p_partkey, coalesce(list_filter(string_split_regex(p_type, '[ .<(+&!$*);^/,%|-]+'), x -> x <> '')[2], '') as w, length(rtrim(p_type))::double as n, upper(p_type) as u from part""")
+@query("""select p_partkey, coalesce(list_filter(string_split_regex(p_type, '[ .<(+&!$*);^/,%|-]+'), lambda x: x <> '')[2], '') as w, length(rtrim(p_type))::double as n, upper(p_type) as u from part""")
 def fn_scan(spark, d):
     from statloom.functions.catalog import by_kernel
 
