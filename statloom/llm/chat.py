@@ -25,8 +25,8 @@ def gather_turns(turns: DataFrame) -> DataFrame:
 
 def pair_by_opening(convs: DataFrame) -> DataFrame:
     """(chosen_id, rejected_id, chosen, rejected): conversations with the same first
-    turn, two and two in order of conv_id, the first as chosen; the last of an odd
-    number, or a single one, has no rejected one.
+    turn, two and two in a fixed order (of a hash of conv_id, then conv_id), the first as
+    chosen; the last of an odd number, or a single one, has no rejected one.
 
     Ranks run within (opening, salt) and are shifted by the counts of the salts before,
     so an opening that a third of all conversations share is dealt over many tasks."""
