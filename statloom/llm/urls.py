@@ -96,7 +96,7 @@ def _score(idx: Column, weights: list[float], bias: float) -> Column:
     return F.lit(bias) + F.aggregate(idx, F.lit(0.0), lambda a, i: a + F.get(w, i)) / F.sqrt(F.size(idx))
 
 
-def train(labelled: DataFrame, size: int = 4, dims: int = 4096, rounds: int = 30, rate: float = 4.0, decay: float = 1e-4, most: int = 4000) -> tuple[list[float], float]:
+def train(labelled: DataFrame, size: int = 3, dims: int = 4096, rounds: int = 40, rate: float = 8.0, decay: float = 1e-4, most: int = 4000) -> tuple[list[float], float]:
     """Weights and bias of the logistic regression, by full-batch gradient steps.
 
     ``labelled`` has url and block (0, 1). Of more than ``most`` rows those of the
@@ -125,7 +125,7 @@ def train(labelled: DataFrame, size: int = 4, dims: int = 4096, rounds: int = 30
     return w, bias
 
 
-def judge_urls(pages: DataFrame, labelled: DataFrame, rules=RULES, url: str = "url", size: int = 4, dims: int = 4096, threshold: float = 0.6, **options) -> DataFrame:
+def judge_urls(pages: DataFrame, labelled: DataFrame, rules=RULES, url: str = "url", size: int = 3, dims: int = 4096, threshold: float = 0.6, **options) -> DataFrame:
     """``pages`` with host, path, rule (null if none fits), verdict (allow or block) and
     block_score, the model's log-odds. Where no rule fits, a probability of at least
     ``threshold`` blocks: above a half, as a wanted page lost costs more.
