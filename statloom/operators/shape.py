@@ -60,7 +60,7 @@ def rank(df: DataFrame, var: str, out: str, by: list[str] = (), ties: str = "mea
     n = F.sum("__c").over(Window.partitionBy(*by))
     made = F.floor(r * groups / (n + 1)).cast("double") if groups else r
     ranks = known.select(*by, var, made.alias(out))
-    return df.join(ranks, [*by, var], "left") if not by else _join_null_safe(df, ranks, [*by], var, out)
+    return _join_null_safe(df, ranks, by, var, out).select(*[c for c in df.columns if c != out], out)
 
 
 def _join_null_safe(df, ranks, by, var, out):

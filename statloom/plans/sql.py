@@ -328,6 +328,10 @@ class Planner:
         having = subst(having) if having is not None else None
         order = [(subst(self._order_item(e, named, aliases, scope)), d) for e, d in q.order]
         env = self.env(scope, outer)
+        if not (has_agg or group):
+            for k, (e, n, at) in enumerate(named):
+                df, e = self.attach(df, e, scope)
+                named[k] = (e, n, at)
         if not has_agg and not group:
             if having is not None:
                 df = self._filter(df, having, scope, outer)
@@ -352,7 +356,11 @@ class Planner:
                 df = df.groupBy(*[c.alias(n) for c, n, *_ in keys]).agg(*[c.alias(name) for c, _, name in made] or [F.count("*").alias("__n")])
             env2 = self.env(scope, outer, aggs={name: kind for _, kind, name in made}, keys=None if detail else {repr(g): (n, k) for _, n, g, k in keys})
             if having2 is not None:
+                df, having2 = self.attach(df, having2, scope)
                 df = df.where(X.as_bool(X.to_column(having2, env2), where=True))
+            for k, (e, n, at) in enumerate(named2):
+                df, e = self.attach(df, e, scope)
+                named2[k] = (e, n, at)
             out = self._project(df, named2, order2, env2, scope, q.distinct)
         return out, scope
 
@@ -417,68 +425,202 @@ class Planner:
                 if inner:
                     return F.col(inner), scope.kinds[inner]
                 if outer is not None and (i := outer.find(e[1])):
-                    return F.col(i).outer(), outer.kinds[i]
+                    return F.col(i), outer.kinds[i]
                 raise ProgramError(f"column {e[1]} is not found")
             if tag == "dot":
                 inner = scope.find(e[2], e[1])
                 if inner:
                     return F.col(inner), scope.kinds[inner]
                 if outer is not None and (i := outer.find(e[2], e[1])):
-                    return F.col(i).outer(), outer.kinds[i]
+                    return F.col(i), outer.kinds[i]
                 raise ProgramError(f"column {e[1]}.{e[2]} is not found")
             if tag == "call" and e[1].lower() == "monotonic":
                 rids = getattr(scope, "rids", [])
                 return F.row_number().over(Window.orderBy(*rids)).cast("double") if rids else F.monotonically_increasing_id().cast("double") + 1, "n"
             if tag == "call" and re.fullmatch(r"(lag|dif)\d*", e[1].lower()):
                 raise ProgramError(f"{e[1]} has no meaning in SQL")
-            if tag == "scalar":
-                sub, kind = self.scalar(e[1], scope)
-                return sub, kind
-            if tag == "exists":
-                df = self.run_inner(e[1], scope)
-                return df.exists(), "b"
-            if tag == "in" and isinstance(e[2], tuple) and e[2][0] == "subquery":
-                x = X.to_column(e[1], env)
-                df = self.run_inner(e[2][1], scope)
-                char = isinstance(df.schema[0].dataType, T.StringType)
-                y = (F.col(f"`{df.columns[0]}`"), "c" if char else "n")
-                hit = df.where(X.compare_columns("=", _outer(self, e[1], scope), y)).exists()
-                return (~hit if e[3] else hit), "b"
-            if tag == "quantified":
-                df = self.run_inner(e[3], scope)
-                y = (F.col(f"`{df.columns[0]}`"), "c" if isinstance(df.schema[0].dataType, T.StringType) else "n")
-                test = X.compare_columns(e[1], _outer(self, e[2], scope), y)
-                return (df.where(test).exists() if e[4] == "any" else ~df.where(~test).exists()), "b"
+            if tag == "ready":
+                return e[1], e[2]
+            if tag in ("scalar", "exists", "quantified"):
+                raise UnsupportedFeature(f"{tag} subquery here")
             return None
 
         env.special = special
         return env
 
-    def run_inner(self, q, scope) -> DataFrame:
-        return self.run(q, scope)
+    # -- subqueries: joins, never a query per row
 
-    def scalar(self, q, scope):
-        """The subquery's one value; of several rows the first counts."""
-        df = self.run(q, scope)
-        kind = "c" if isinstance(df.schema[0].dataType, T.StringType) else "n"
-        simple = isinstance(q, Query) and not q.group and any(_aggregates(e, {}) for e, _, _ in q.items)
-        if not simple:
-            df = df.agg(F.first(F.col(f"`{df.columns[0]}`")).alias("one"))
-        return df.scalar(), kind
+    def inner(self, q, scope):
+        """(frame, scope, conditions) of a subquery's FROM and WHERE: the conditions that
+        name columns of the query around are left for the join."""
+        if not isinstance(q, Query):
+            own = Scope()
+            return self.tag(self.run(q), "sub", own), own, []
+        own, df = Scope(), None
+        conds = _conjuncts(q.where)
+        for how, ref, alias, on in q.tables:
+            side = Scope()
+            right = self.tag(self.frame(ref), alias, side)
+            for a, n, i in side.order:
+                own.add(a, n, i, side.kinds[i], side.meta[i])
+            if df is None:
+                df = right
+            elif how == "comma":
+                use = [c for c in conds if _plain(c) and self._bound(c, own) and not self._bound_in(c, df.columns, own)]
+                conds = [c for c in conds if c not in use]
+                cond = self._join_condition(use, own, None)
+                df = df.crossJoin(right) if cond is None else df.join(right, cond, "inner")
+            elif how == "cross":
+                df = df.crossJoin(right)
+            else:
+                df = df.join(right, X.as_bool(X.to_column(on, self.env(own)), where=True), how)
+        late = []
+        for c in conds:
+            if _plain(c) and not self._bound(c, own):
+                late.append(c)
+            else:
+                df = self._filter(df, c, own, None)
+        return df, own, late
+
+    def _semi(self, df, q, scope, test, how):
+        """EXISTS and IN as a semi or anti join; ``test`` makes a condition of the
+        subquery's one column."""
+        if isinstance(q, Query) and not any(_aggregates(e, {}) for e, _, _ in q.items) and not q.group:
+            sub, own, late = self.inner(q, scope)
+            cond = None
+            for c in late:
+                b = X.as_bool(X.to_column(c, self.env(own, scope)), where=True)
+                cond = b if cond is None else cond & b
+            if test is not None:
+                e = q.items[0][0]
+                b = test(X.to_column(("inner", own.order[0][2]) if e[0] == "star" else e, self.env(own, scope)))
+                cond = b if cond is None else cond & b
+            if cond is None:
+                cond = F.lit(True)
+                sub = sub.limit(1)
+            return df.join(sub, cond, how)
+        sub = self.run(q)
+        own = Scope()
+        sub = self.tag(sub, "sub", own)
+        inner = own.order[0][2]
+        cond = test((F.col(inner), own.kinds[inner])) if test is not None else F.lit(True)
+        return df.join(sub, cond, how)
+
+    def attach(self, df, e, scope):
+        """The frame with a column for each scalar, EXISTS or quantified subquery in the
+        expression, and the expression on those columns."""
+        if isinstance(e, list):
+            out = []
+            for x in e:
+                df, y = self.attach(df, x, scope)
+                out.append(y)
+            return df, out
+        if not isinstance(e, tuple) or not e or _plain(e):
+            return df, e
+        if e[0] == "scalar":
+            return self._scalar(df, e[1], scope)
+        if e[0] == "exists" or e[0] == "in" and isinstance(e[2], tuple) and e[2][0] == "subquery":
+            self.n += 1
+            mark, rid = f"m{self.n}", f"r{self.n}"
+            base = df.withColumn(rid, F.monotonically_increasing_id())
+            hit = self._filter(base, e if e[0] == "exists" else ("in", e[1], e[2], False), scope, None).select(F.col(rid).alias(f"{rid}_k"), F.lit(True).alias(mark))
+            df = base.join(hit, F.col(rid) == F.col(f"{rid}_k"), "left")
+            found = F.coalesce(F.col(mark), F.lit(False))
+            return df, ("ready", ~found if e[0] == "in" and e[3] else found, "b")
+        if e[0] == "quantified":
+            return self._quantified(df, e, scope)
+        out = []
+        for x in e:
+            if isinstance(x, (tuple, list)):
+                df, x = self.attach(df, x, scope)
+            out.append(x)
+        return df, tuple(out)
+
+    def _scalar(self, df, q, scope):
+        """One value per row of the query around: the subquery's aggregate by its
+        correlated columns, or its first row."""
+        sub, own, late = self.inner(q, scope)
+        e = _calculated(q.items[0][0], {}) if isinstance(q, Query) else ("inner", own.order[0][2])
+        self.n += 1
+        name = f"v{self.n}"
+        keys, pairs = [], []
+        for k, c in enumerate(late):
+            sides = [x for x in (c[2], c[3]) if c[0] == "cmp" and c[1] == "="] if c[0] == "cmp" else []
+            mine = [x for x in sides if self._bound(x, own)]
+            theirs = [x for x in sides if x not in mine]
+            if len(mine) != 1 or len(theirs) != 1:
+                raise UnsupportedFeature("a scalar subquery correlated by other than equality")
+            a, b = X.to_column(mine[0], self.env(own)), X.to_column(theirs[0], self.env(scope))
+            left, right = (F.rtrim(a[0]), F.rtrim(b[0])) if a[1] == b[1] == "c" else (X.as_num(a), X.as_num(b))
+            keys.append(left.alias(f"{name}_k{k}"))
+            pairs.append((f"{name}_k{k}", right))
+        counts = False
+        if _aggregates(e, {}):
+            aggs: dict = {}
+            made = _replace_aggregates(e, aggs)
+            cols = [(*self._aggregate(a, self.env(own)), n) for a, n in aggs.items()]
+            counts = e[0] == "call" and e[1].lower() in ("count", "n", "freq", "nmiss")
+            one = sub.groupBy(*keys).agg(*[c.alias(f"{name}_{n}") for c, _, n in cols])
+            env = self.env(own)
+            inner_special = env.special
+            env.special = lambda x: (F.col(f"{name}_{x[1]}"), dict((n, k) for _, k, n in cols)[x[1]]) if x[0] == "agg" else inner_special(x)
+            c, kind = X.to_column(made, env)
+            one = one.select(*[k for k, _ in pairs], c.alias(name))
+        else:
+            c, kind = X.to_column(e, self.env(own))
+            one = sub.groupBy(*keys).agg(F.first(c).alias(name))
+        if not pairs:
+            joined = df.join(F.broadcast(one.limit(1)), F.lit(True), "left")  # one row
+        else:
+            cond = None
+            for k, right in pairs:
+                b = right.eqNullSafe(F.col(k))
+                cond = b if cond is None else cond & b
+            joined = df.join(one, cond, "left")
+        value = F.coalesce(F.col(name), F.lit(0.0)) if counts else F.col(name)
+        return joined, ("ready", value, "n" if kind == "b" else kind)
+
+    def _quantified(self, df, e, scope):
+        """op ANY and op ALL by the least and greatest of the subquery's values."""
+        op, q, which = e[1], e[3], e[4]
+        sub, own, late = self.inner(q, scope)
+        if late:
+            raise UnsupportedFeature("a correlated ANY or ALL")
+        y, kind = X.to_column(q.items[0][0], self.env(own))
+        self.n += 1
+        n = f"v{self.n}"
+        ends = sub.agg(F.min(y).alias(f"{n}_lo"), F.max(y).alias(f"{n}_hi"), F.count("*").alias(f"{n}_n"), F.count_if(y.isNull()).alias(f"{n}_m"), F.count_distinct(y).alias(f"{n}_d"))
+        df = df.crossJoin(F.broadcast(ends))  # one row
+        x = X.to_column(e[2], self.env(scope))
+        lo = (F.when(F.col(f"{n}_m") > 0, F.lit(None)).otherwise(F.col(f"{n}_lo")), kind)
+        hi = (F.col(f"{n}_hi"), kind)
+        if op in ("=", "^="):
+            if (op == "=") == (which == "any"):
+                raise UnsupportedFeature("= ANY or ^= ALL; use IN or NOT IN")
+            same = (F.col(f"{n}_d") == 1) & X.compare_columns("=", x, hi)
+            test = same if op == "=" else ~same
+        else:
+            edge = {("<", "any"): hi, ("<", "all"): lo, (">", "any"): lo, (">", "all"): hi}[(op[0], which)]
+            test = X.compare_columns(op, x, edge)
+        return df, ("ready", F.when(F.col(f"{n}_n") == 0, F.lit(which == "all")).otherwise(test), "b")
 
     def _filter(self, df, cond, scope, outer):
         neg = cond[0] == "un" and cond[1] == "^"
-        inner = cond[2] if neg else cond
-        if inner[0] == "in" and isinstance(inner[2], tuple) and inner[2][0] == "subquery" and not _correlated(inner[2][1], scope, self):
-            # IN (SELECT ...): a semi or anti join on equality with missing equal to missing.
-            sub = self.run(inner[2][1])
-            self.n += 1
-            name = f"s{self.n}"
-            char = isinstance(sub.schema[0].dataType, T.StringType)
-            sub = sub.select((F.rtrim(F.col(f"`{sub.columns[0]}`")) if char else F.col(f"`{sub.columns[0]}`").cast("double")).alias(name))
-            x, kind = X.to_column(inner[1], self.env(scope, outer))
-            on = (F.rtrim(x) if kind == "c" else x).eqNullSafe(F.col(name))
-            return df.join(sub, on, "left_anti" if inner[3] != neg else "left_semi")
+        e = cond[2] if neg else cond
+        if e[0] == "exists":
+            return self._semi(df, e[1], scope, None, "left_anti" if neg else "left_semi")
+        if e[0] == "in" and isinstance(e[2], tuple) and e[2][0] == "subquery":
+            # Missing equals missing, and a missing one in the list doesn't void NOT IN.
+            df, x = self.attach(df, e[1], scope)
+            value = X.to_column(x, self.env(scope, outer))
+
+            def test(y):
+                if value[1] == y[1] == "c":
+                    return F.rtrim(value[0]).eqNullSafe(F.rtrim(y[0]))
+                return X.as_num(value).eqNullSafe(X.as_num(y))
+
+            return self._semi(df, e[2][1], scope, test, "left_anti" if e[3] != neg else "left_semi")
+        df, cond = self.attach(df, cond, scope)
         return df.where(X.as_bool(X.to_column(cond, self.env(scope, outer)), where=True))
 
     def _join_condition(self, conds, scope, outer):
@@ -531,19 +673,6 @@ class Planner:
         return simple[name], "n"
 
 
-def _outer(planner, e, scope):
-    """A column of the query around, inside a subquery."""
-
-    def special(x):
-        if x[0] == "var" and (i := scope.find(x[1])):
-            return F.col(i).outer(), scope.kinds[i]
-        if x[0] == "dot" and (i := scope.find(x[2], x[1])):
-            return F.col(i).outer(), scope.kinds[i]
-        return None
-
-    return X.to_column(e, X.Env(catalog=planner.s.formats, special=special))
-
-
 def _conjuncts(e):
     if e is None:
         return []
@@ -560,29 +689,6 @@ def _plain(e) -> bool:
     return e[0] not in ("scalar", "exists", "subquery", "quantified") and all(_plain(x) for x in e[1:])
 
 
-def _correlated(q, scope, planner) -> bool:
-    """Whether a subquery names a column that only the query around has."""
-    if not isinstance(q, Query):
-        return isinstance(q, tuple) and any(_correlated(x, scope, planner) for x in q[1:] if isinstance(x, (Query, tuple)))
-    own = Scope()
-    for _, ref, alias, _ in q.tables:
-        planner.tag(planner.frame(ref), alias, own)
-    exprs = [e for e, _, _ in q.items] + [x for x in (q.where, q.having) if x is not None] + q.group
-
-    def loose(e):
-        if isinstance(e, list):
-            return any(loose(x) for x in e)
-        if isinstance(e, Query) or not isinstance(e, tuple):
-            return False
-        if e[0] == "var":
-            return own.find(e[1]) is None and scope.find(e[1]) is not None
-        if e[0] == "dot":
-            return own.find(e[2], e[1]) is None and scope.find(e[2], e[1]) is not None
-        return any(loose(x) for x in e[1:])
-
-    return loose(exprs)
-
-
 def _is_aggregate(e) -> bool:
     return e[0] == "call" and e[1].lower() in AGGREGATES and len(e[2]) <= 1
 
@@ -863,9 +969,11 @@ def _update(session, planner, s):
         where = p.parse()
     df, tagged, scope = _scoped(session, planner, m[1], m[2])
     env = planner.env(scope)
+    if where is not None:
+        tagged, where = planner.attach(tagged, where, scope)
+    for k in list(sets):
+        tagged, sets[k] = planner.attach(tagged, sets[k], scope)
     hit = X.as_bool(X.to_column(where, env), where=True) if where is not None else F.lit(True)
-    # The condition is a column first, so subqueries in it and in the values are planned
-    # once each, beside the row.
     tagged = tagged.withColumn("__hit", hit)
     out = []
     for _, name, inner in scope.order:
@@ -889,8 +997,8 @@ def _delete(session, planner, s):
         session.store(m[1], df.limit(0))
         return
     env = planner.env(scope)
-    hit = X.as_bool(X.to_column(SqlParser(tokenize(m[3])).parse(), env), where=True)
-    kept = tagged.where(~hit)
+    tagged, cond = planner.attach(tagged, SqlParser(tokenize(m[3])).parse(), scope)
+    kept = tagged.where(~X.as_bool(X.to_column(cond, env), where=True))
     rid = [F.col(r).alias(RID) for r in getattr(scope, "rids", [])[:1]]
     session.store(m[1], kept.select(*[F.col(i).alias(n, metadata=scope.meta[i]) for _, n, i in scope.order], *rid))
 
