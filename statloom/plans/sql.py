@@ -277,7 +277,8 @@ class Planner:
     def select(self, q: Query, outer=None):
         scope = Scope()
         df = None
-        pending = _conjuncts(q.where)
+        aliases = {a.lower(): e for e, a, _ in q.items if a}
+        pending = _conjuncts(_calculated(q.where, aliases) if q.where is not None else None)
         for how, ref, alias, on in q.tables:
             side = Scope()
             right = self.tag(self.frame(ref), alias, side)
@@ -301,10 +302,6 @@ class Planner:
             df = self.s.spark.range(1).select(F.lit(1).alias("q0_one"))
         for c in pending:
             df = self._filter(df, c, scope, outer)
-        aliases = {}
-        for e, a, attrs in q.items:
-            if a:
-                aliases[a.lower()] = e
         items = []
         for e, a, attrs in q.items:
             if e[0] == "star" or e[0] == "dot" and e[2] == "*":
