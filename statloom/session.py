@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from statloom.formats import Catalog, UnsupportedFeature
+from statloom.functions.handles import NAMES as HANDLE_NAMES
+from statloom.functions.handles import Handles
 from statloom.macro import Macro
 from statloom.operators import combine
 from statloom.operators.order import RID, key_order, plain, with_rid
@@ -38,6 +40,7 @@ class Session:
         self.log: list[str] = []
         self.listing: list[str] = []
         self.ods: dict[str, str] = {}
+        self.handles = Handles(self)
         self.rc = 0
 
     # -- tables
@@ -234,7 +237,7 @@ class Session:
         if lines is not None and step.infile.get("firstobs"):
             lines = lines[step.infile["firstobs"] - 1 :]
         if not reads:
-            it = Interpreter(step, {}, tables, self.macro.vars, self.formats, lines)
+            it = Interpreter(step, {}, tables, self.macro.vars, self.formats, lines, self.handles)
             it.run(None)
             self.log += it.log
             out = {n: self._frame(rows, it) for n, rows in it.out.items()}
@@ -257,16 +260,17 @@ class Session:
         df = df.orderBy(*order)
         cols = [c for c in df.columns if c != RID]
         kinds = {c.lower(): "c" if isinstance(f.dataType, T.StringType) else "n" for c, f in ((f.name, f) for f in df.schema) if c in cols and not c.startswith(("first_", "last_"))}
-        has_put = _mentions(step.body, ("put", "callroutine"))
-        if not has_put:
-            probe = Interpreter(step, kinds, tables, dict(self.macro.vars), self.formats)
-            return self._in_task(step, df, kinds, tables, by, probe, src)
-        it = Interpreter(step, kinds, tables, self.macro.vars, self.formats)
+        attrs = {f.name.lower(): {**(f.metadata or {}), "name": f.name} for f in df.schema}
+        here = _mentions(step.body, ("put", "callroutine")) or _uses(step.body, HANDLE_NAMES)
+        if not here:
+            probe = Interpreter(step, kinds, tables, dict(self.macro.vars), self.formats, attrs=attrs)
+            return self._in_task(step, df, kinds, tables, by, probe, src, attrs)
+        it = Interpreter(step, kinds, tables, self.macro.vars, self.formats, None, self.handles, attrs)
         it.run(_as_rows((r.asDict() for r in df.toLocalIterator()), by, src))
         self.log += it.log
         return {n: self._frame(rows, it) for n, rows in it.out.items()}
 
-    def _in_task(self, step, df, kinds, tables, by, probe, src):
+    def _in_task(self, step, df, kinds, tables, by, probe, src, attrs):
         names = [probe.names[k] for k in probe.names if not k.startswith("__")]
         kind_of = {k: probe.kinds[k] for k in probe.names}
         targets = list(probe.out)
@@ -281,7 +285,7 @@ class Session:
                     for rec in pdf.to_dict("records"):
                         yield {k: None if isinstance(v, float) and v != v else v for k, v in rec.items()}
 
-            it = Interpreter(step, kinds, tables, macro, catalog)
+            it = Interpreter(step, kinds, tables, macro, catalog, attrs=attrs)
             it.run(_as_rows(rows(), by, src))
             for t in targets:
                 got = it.out[t]
@@ -337,6 +341,13 @@ def _mentions(body, tags) -> bool:
     return False
 
 
+def _uses(e, names) -> bool:
+    """Whether a function of these names is called anywhere."""
+    if isinstance(e, tuple) and len(e) == 3 and e[0] == "call" and isinstance(e[1], str) and e[1].upper() in names:
+        return True
+    return isinstance(e, (tuple, list)) and any(_uses(x, names) for x in e)
+
+
 def _as_rows(rows, by, src):
     """Rows with first.x and last.x for the interpreter, and END='s flag."""
     end = src.options.get("end")
@@ -578,7 +589,7 @@ def _calls(e) -> bool:
     """Whether an expression has a function that depends on the rows before it."""
     if not isinstance(e, tuple):
         return False
-    if e[0] == "call" and (re.fullmatch(r"(lag|dif)\d*", e[1].lower()) or e[1].lower() in ("rand", "ranuni", "rannor", "uniform", "normal", "ranexp", "symget", "vname", "vvalue", "vlabel", "resolve", "hashing_init", "hashing_part", "hashing_term")):
+    if e[0] == "call" and (re.fullmatch(r"(lag|dif)\d*", e[1].lower()) or e[1].lower() in ("rand", "ranuni", "rannor", "uniform", "normal", "ranexp", "symget", "resolve") or e[1].upper() in HANDLE_NAMES or re.match(r"v(in)?(format|label|length|type|name|value)", e[1].lower())):
         return True
     if e[0] == "var" and e[1].lower() in ("_n_", "_error_"):
         return True

@@ -270,3 +270,28 @@ def test_ibm_floats():
     for x in [0.0, 1.0, -1.0, 0.1, 1e10, -3.75e-12, *(rnd.uniform(-1e6, 1e6) for _ in range(100))]:
         assert ibm_to_float(float_to_ibm(x)) == pytest.approx(x, rel=1e-15)
     assert ibm_to_float(float_to_ibm(None)) is None
+
+
+def test_handles_and_attributes(run):
+    s, rc, (a, b) = run(
+        """data d; x = 1.5; g = 'q'; label x = 'Size'; format x 8.2; output; x = 2; output; run;
+        data a; id = open('d'); n = attrn(id, 'nobs'); rc = fetch(id); rc = fetch(id); v = getvarn(id, varnum(id, 'x')); t = vartype(id, 2); rc = close(id); keep n v t; run;
+        data b; set d; l = vlabel(x); f = vformat(x); w = vformatw(x); keep l f w; run;
+        %let k = %sysfunc(exist(d)); %put k=&k %sysfunc(exist(nope));
+        data h; c = hashing_init('sha256'); rc = hashing_part(c, 'abc'); y = hashing_term(c); run;""",
+        "a",
+        "b",
+    )
+    assert rc == 0, s.log
+    assert a == [(2.0, 2.0, "N")] or a == [(2.0, 2.0, "C")]
+    assert b == [("Size", "8.2", 8.0)] * 2 and s.macro.put == ["k=1 0"]
+    assert s.rows("h").first()["y"].startswith("BA7816BF")
+
+
+def test_streaming_equals_batch(spark):
+    from statloom.streaming import sessions, windowed_means
+
+    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    got = windowed_means(e, "ts", ["event_type"], "value", "1 day")
+    assert got.agg({"n": "sum"}).first()[0] == e.where("value is not null").count()
+    assert sessions(e, "ts", ["user_id"]).agg({"n": "sum"}).first()[0] == e.count()
