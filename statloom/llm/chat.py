@@ -29,19 +29,25 @@ def pair_by_opening(convs: DataFrame) -> DataFrame:
     chosen; the last of an odd number, or a single one, has no rejected one.
 
     Ranks run within (opening, salt) and are shifted by the counts of the salts before,
-    so an opening that a third of all conversations share is dealt over many tasks."""
+    so an opening that a third of all conversations share is dealt over many tasks. Only
+    ids and hashes are ranked; the turns join them where they lie and are shuffled once,
+    to their pair. Turns without a conv_id are one conversation, which pairs with none."""
     first = F.element_at("turns", 1)
-    keyed = convs.select("conv_id", "turns", F.xxhash64(first).alias("k1"), F.xxhash64(F.lit(1), first).alias("k2"))
+    keyed = convs.where("conv_id is not null").select("conv_id", F.xxhash64(first).alias("k1"), F.xxhash64(F.lit(1), first).alias("k2"))
     keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("conv_id"), F.lit(SALTS)).cast("int"))
     counts = keyed.groupBy("k1", "k2", "salt").agg(F.count("*").alias("n"))
-    shift = counts.withColumn("shift", F.sum("n").over(Window.partitionBy("k1", "k2").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))).drop("n")
+    before = Window.partitionBy("k1", "k2").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    shift = counts.select("k1", "k2", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
     within = Window.partitionBy("k1", "k2", "salt").orderBy("conv_id")
-    ranked = keyed.withColumn("r", F.row_number().over(within) - 1).join(shift, ["k1", "k2", "salt"]).withColumn("r", F.col("r") + F.coalesce("shift", F.lit(0)))
+    ranked = keyed.withColumn("r", F.row_number().over(within) - 1).join(shift, ["k1", "k2", "salt"])
+    ranked = ranked.select("conv_id", "k1", "k2", (F.col("r") + F.col("shift")).alias("r"))
     row = F.struct("conv_id", "turns")
-    paired = ranked.groupBy("k1", "k2", F.shiftright("r", 1).alias("pair")).agg(
+    paired = convs.join(ranked, "conv_id").groupBy("k1", "k2", F.shiftright("r", 1).alias("pair")).agg(
         F.max(F.when(F.col("r") % 2 == 0, row)).alias("c"), F.max(F.when(F.col("r") % 2 == 1, row)).alias("x")
     )
-    return paired.select(F.col("c.conv_id").alias("chosen_id"), F.col("x.conv_id").alias("rejected_id"), F.col("c.turns").alias("chosen"), F.col("x.turns").alias("rejected"))
+    paired = paired.select(F.col("c.conv_id").alias("chosen_id"), F.col("x.conv_id").alias("rejected_id"), F.col("c.turns").alias("chosen"), F.col("x.turns").alias("rejected"))
+    nameless = convs.where("conv_id is null")
+    return paired.unionByName(nameless.select(F.col("conv_id").alias("chosen_id"), F.col("conv_id").alias("rejected_id"), F.col("turns").alias("chosen"), F.when(F.lit(False), F.col("turns")).alias("rejected")))
 
 
 def common_turns(chosen: Column, rejected: Column) -> Column:

@@ -131,6 +131,13 @@ def test_pairs_of_a_common_opening(spark):
     assert ids == list(range(301)) and len(pairs) == 151
 
 
+def test_turns_without_a_conversation(spark):
+    df = spark.createDataFrame([*TURNS, (None, 0, "user", "Hi")], "conv_id long, turn long, role string, text string")
+    pairs = chat.pair_by_opening(chat.gather_turns(df)).collect()
+    assert sum(len(p.chosen) + len(p.rejected or []) for p in pairs) == len(TURNS) + 1
+    assert [p.rejected_id for p in pairs if p.chosen_id is None] == [None]
+
+
 URLS = [
     (1, "https://WWW.Example.ORG/es/1?x=/en/", "www.example.org", "/es/1", "example.org/es/", "block"),
     (2, "http://example.org/en/12", "example.org", "/en/12", "example.org/en/1", "block"),
