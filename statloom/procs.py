@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from statloom.formats import UnsupportedFeature, UserFormat, best, put
-from statloom.operators import combine, correlation, order, shape, summary, tables, univariate
+from statloom.operators import combine, correlation, exact, order, shape, summary, tables, univariate
 from statloom.operators.order import RID, with_rid
 from statloom.plans import expr as X
 from statloom.plans.lexer import ProgramError, statements, tokenize
@@ -244,6 +244,8 @@ def proc_freq(p: Proc) -> None:
                 listing(p.s, stats)
                 if t := p.s.ods.pop("chisq", None):
                     p.s.store(t, stats)
+            if len(cols) == 2 and "exact" in p.st:
+                _exact(p, df, cols, weight)
             if len(cols) == 2 and any(re.search(rf"\b{w}\b", o) for w in ("agree", "trend", "jt", "cmh")):
                 _agree(p, df, cols, weight, o)
             if len(cols) == 3 and "cmh" in o:
@@ -261,6 +263,26 @@ def proc_freq(p: Proc) -> None:
                 listing(p.s, p.s.spark.createDataFrame([("Chi-Square", x, float(d), pr)], "statistic string, value double, df double, p double"))
 
 
+def _exact(p, df, cols, weight):
+    """The EXACT statement's tests of a two-way table."""
+    t, _, _ = tables.table_of(df, *cols, weight)
+    text = " ".join(p.st["exact"]).lower()
+    n = int((re.search(r"\bn\s*=\s*(\d+)", text) or [0, 10_000])[1])
+    rows = []
+    for word, name, stat in (("fisher", "Fisher", "fisher"), ("pchi", "Pearson", "pearson"), ("chisq", "Pearson", "pearson"), ("lrchi", "Likelihood Ratio", "lr"), ("mhchi", "Mantel-Haenszel", "mh")):
+        if re.search(rf"\b{word}\b", text):
+            rows.append((f"{name} exact p", exact.monte_carlo_p(t, stat, n)[0] if re.search(r"\bmc\b", text) and stat != "fisher" else exact.exact_p(t, stat)))
+    if t.shape == (2, 2):
+        if re.search(r"\bor\b", text):
+            lo, hi = exact.odds_ratio_limits(t)
+            rows += [("Odds ratio exact lower", lo), ("Odds ratio exact upper", hi)]
+        if "barnard" in text:
+            rows.append(("Barnard p", exact.barnard(t)))
+        if "riskdiff" in text:
+            rows += [(f"Risk difference {k} {side}", v[j]) for k, v in exact.risk_difference_limits(t).items() for j, side in enumerate(("lower", "upper"))]
+    listing(p.s, p.s.spark.createDataFrame([(k, float(v)) for k, v in rows] or [("none", 0.0)], "statistic string, value double"))
+
+
 def _agree(p, df, cols, weight, o):
     t, _, _ = tables.table_of(df, *cols, weight)
     rows = []
@@ -297,6 +319,8 @@ def _cmh(p, df, cols, weight):
     for c in cells:
         strata[lv[0].index(c[0])][lv[1].index(c[1]), lv[2].index(c[2])] = c["COUNT"]
     rows = [(k, float(v[0]), None if v[1] != v[1] else float(v[1]), None if v[2] != v[2] else float(v[2])) for k, v in tables.cmh(strata).items()]
+    if strata[0].shape == (2, 2):
+        rows += [(f"{k} {side}", float(v[j]), None, None) for k, v in exact.mantel_haenszel(strata).items() for j, side in enumerate(("estimate", "lower", "upper"))]
     out = p.s.spark.createDataFrame(rows, "statistic string, value double, df double, p double")
     listing(p.s, out)
     if t := p.s.ods.pop("cmh", None):
