@@ -140,7 +140,11 @@ def _cell(v, spec, session) -> str:
 
 def _finish(p: Proc, df: DataFrame, name: str | None) -> None:
     if name:
-        p.s.store(name.split("(")[0], df)
+        from statloom.session import dataset_options
+
+        name = name.split("(")[0].strip()
+        m = re.search(rf"\bout\w?\s*=\s*{re.escape(name)}\s*(\((?:[^()]|\([^()]*\))*\))", p.head, re.I)
+        p.s.store(name, dataset_options(df, dataset_list("x" + m[1])[0][1], keep_order=True) if m else df)
         p.s.macro.vars["syslast"] = name.upper()
     table = p.s.ods.pop(p.name, None)
     if table:

@@ -447,3 +447,112 @@ def by_notsorted_runs(spark, d):
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
     change = F.when(F.lag("o_orderstatus").over(w).eqNullSafe(F.col("o_orderstatus")), 0).otherwise(1)
     return o.withColumn("c", change).select("o_custkey", "o_orderkey", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("run"))
+
+
+# ---- whole programs over the tables --------------------------------------------------------
+
+
+def program(spark, d, tables: list[str], text: str, out: str) -> DataFrame:
+    """Runs a program with these tables in WORK and gives one of its results, unordered."""
+    from statloom.operators.order import RID
+    from statloom.session import Session
+
+    s = Session(spark)
+    for name in tables:
+        s.store(name, t(spark, d, name))
+    rc = s.run(text)
+    if rc:
+        raise RuntimeError(f"exit class {rc}: {s.log}")
+    df = s.table(out)
+    return df.drop(RID) if RID in df.columns else df
+
+
+@query("""select l_orderkey::double as l_orderkey, l_linenumber::double as l_linenumber, round(l_extendedprice * (1 - l_discount), 6) as rev, case when l_quantity < 30 then 'mid' else 'high' end as band
+from lineitem where l_quantity > 20 and l_returnflag in ('A', 'R')""")
+def prog_data_step(spark, d):
+    return program(spark, d, ["lineitem"], """
+        data out; set lineitem; where l_quantity > 20 and l_returnflag in ('A' 'R'); length band $4;
+          rev = round(l_extendedprice * (1 - l_discount), .000001);
+          if l_quantity < 30 then band = 'mid'; else band = 'high';
+          keep l_orderkey l_linenumber rev band; run;""", "out")
+
+
+@query("""select c_custkey::double as c_custkey, c_name, o_orderkey::double as o_orderkey from customer join orders on c_custkey = o_custkey where o_totalprice > 1000""")
+def prog_merge_in(spark, d):
+    return program(spark, d, ["customer", "orders"], """
+        proc sort data=orders out=o(keep=o_custkey o_orderkey o_totalprice rename=(o_custkey=c_custkey)); by o_custkey o_orderkey; run;
+        proc sort data=customer; by c_custkey; run;
+        data m; merge customer(in=a) o(in=b); by c_custkey; if a and b and o_totalprice > 1000; keep c_custkey c_name o_orderkey; run;""", "m")
+
+
+@query("""select l_returnflag, count(*)::double as n, round(avg(l_quantity), 6) as q_mean, round(max(l_tax), 6) as t_max from lineitem group by 1""")
+def prog_means_output(spark, d):
+    out = program(spark, d, ["lineitem"], """
+        proc means data=lineitem noprint nway; class l_returnflag; var l_quantity l_tax;
+          output out=m n(l_quantity)=n mean(l_quantity)=q_mean max(l_tax)=t_max; run;""", "m")
+    return r6(out.select("l_returnflag", "n", "q_mean", "t_max").withColumn("n", F.col("n").cast("double")))
+
+
+@query("""select o_custkey::double as o_custkey, o_orderkey::double as o_orderkey, round(o_totalprice / sum(o_totalprice) over (partition by o_custkey), 6) as share from orders qualify o_totalprice > avg(o_totalprice) over (partition by o_custkey)""")
+def prog_sql_remerge(spark, d):
+    return program(spark, d, ["orders"], """
+        proc sql; create table r as select o_custkey, o_orderkey, round(o_totalprice / sum(o_totalprice), .000001) as share
+          from orders group by o_custkey having o_totalprice > avg(o_totalprice); quit;""", "r")
+
+
+@query("""select c_custkey::double as c_custkey, (select max(o_totalprice) from orders where o_custkey = c_custkey) as top, (select count(*) from orders where o_custkey = c_custkey)::double as n from customer where c_nationkey in (select n_nationkey from nation where n_regionkey < 2) and not exists (select 1 from supplier where s_nationkey = c_nationkey and s_acctbal > 9000)""")
+def prog_sql_subqueries(spark, d):
+    return program(spark, d, ["customer", "orders", "nation", "supplier"], """
+        proc sql; create table r as select c_custkey, (select max(o_totalprice) from orders o where o.o_custkey = c.c_custkey) as top,
+            (select count(*) from orders o where o.o_custkey = c.c_custkey) as n
+          from customer c where c_nationkey in (select n_nationkey from nation where n_regionkey < 2)
+            and not exists (select 1 from supplier s where s.s_nationkey = c.c_nationkey and s.s_acctbal > 9000); quit;""", "r")
+
+
+@query("""select r_name, count(*)::double as n, round(sum(s_acctbal), 6) as bal from supplier, nation, region where s_nationkey = n_nationkey and n_regionkey = r_regionkey group by 1""")
+def prog_sql_comma_join(spark, d):
+    return program(spark, d, ["supplier", "nation", "region"], """
+        proc sql; create table r as select r_name, count(*) as n, round(sum(s_acctbal), .000001) as bal
+          from supplier, nation, region where s_nationkey = n_nationkey and n_regionkey = r_regionkey group by r_name; quit;""", "r")
+
+
+@query("""select o_orderpriority, o_orderstatus, count(*)::double as COUNT, round(100.0 * count(*) / sum(count(*)) over (), 6) as PERCENT from orders group by 1, 2""")
+def prog_freq_out(spark, d):
+    return r6(program(spark, d, ["orders"], "proc freq data=orders noprint; tables o_orderpriority * o_orderstatus / out=f; run;", "f"))
+
+
+@query("""select user_id::double as user_id, sum(coalesce(value, 0)) filter (where event_id % 2 = 0) as even_sum, count(*)::double as n from events group by 1""")
+def prog_by_totals(spark, d):
+    out = program(spark, d, ["events"], """
+        proc sql; create table r as select user_id, sum(case when mod(event_id, 2) = 0 then coalesce(value, 0) end) as even_sum, count(*) as n from events group by user_id; quit;""", "r")
+    return r6(out)
+
+
+ORACLE_SQL["prog_by_totals"] = ORACLE_SQL["prog_by_totals"].replace("sum(coalesce(value, 0)) filter (where event_id % 2 = 0) as even_sum", "round(sum(coalesce(value, 0)) filter (where event_id % 2 = 0), 6) as even_sum")
+
+
+@query("""select p_partkey::double as p_partkey, case when p_size <= 10 then 'small' when p_size <= 30 then 'medium' else 'large' end as g, upper(p_brand) || '/' || p_type as label from part""")
+def prog_formats(spark, d):
+    return program(spark, d, ["part"], """
+        proc format; value sz low-10 = 'small' 10<-30 = 'medium' 30<-high = 'large'; run;
+        data r; set part; g = put(p_size, sz.); label = catx('/', upcase(p_brand), p_type); keep p_partkey g label; run;""", "r")
+
+
+@query("""select o_orderkey::double as o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as day, year(o_orderdate)::double as y, date_diff('day', date '1960-01-01', date_trunc('month', o_orderdate)::date)::double as first_day from orders""")
+def prog_dates(spark, d):
+    return program(spark, d, ["orders"], """
+        data r; set orders; dt = datepart(o_orderdate); day = put(dt, yymmdd10.); y = year(dt); first_day = intnx('month', dt, 0, 'b'); keep o_orderkey day y first_day; run;""", "r")
+
+
+@query("""select region, n from (select 'r1' as region, count(*)::double as n from nation where n_regionkey = 1 union all select 'r2', count(*)::double from nation where n_regionkey = 2 union all select 'r3', count(*)::double from nation where n_regionkey = 3)""")
+def prog_macro_loop(spark, d):
+    return program(spark, d, ["nation"], """
+        %macro each(n); %do i = 1 %to &n; proc sql; create table c&i as select "r&i" as region, count(*) as n from nation where n_regionkey = &i; quit; %end; %mend;
+        %each(3) data all; set c1 c2 c3; run;""", "all")
+
+
+@query("""select c_nationkey::double as k, 'customer' as src from customer where c_acctbal > 5000 union select s_nationkey::double, 'supplier' from supplier where s_acctbal > 5000""")
+def prog_sql_union(spark, d):
+    return program(spark, d, ["customer", "supplier"], """
+        proc sql; create table r as select c_nationkey as k, 'customer' as src from customer where c_acctbal > 5000
+          union select s_nationkey, 'supplier' from supplier where s_acctbal > 5000; quit;""", "r")
