@@ -286,13 +286,26 @@ class Session:
                         yield {k: None if isinstance(v, float) and v != v else v for k, v in rec.items()}
 
             it = Interpreter(step, kinds, tables, macro, catalog, attrs=attrs)
-            it.run(_as_rows(rows(), by, src))
-            for t in targets:
-                got = it.out[t]
-                for at in range(0, len(got), 10_000):
-                    part = got[at : at + 10_000]
-                    yield pd.DataFrame({"__t": [t] * len(part), RID: range(at, at + len(part)), **{n: pd.Series([r.get(n) for r in part], dtype=object) for n in names}})
-
+            made = dict.fromkeys(targets, 0)
+
+            def flush(least: int):
+                for t in targets:
+                    part = it.out[t]
+                    if len(part) > least:
+                        at = made[t]
+                        made[t] += len(part)
+                        it.out[t] = []
+                        yield pd.DataFrame({"__t": [t] * len(part), RID: range(at, at + len(part)), **{n: pd.Series([r.get(n) for r in part], dtype=object) for n in names}})
+
+            for _ in it.stream(_as_rows(rows(), by, src)):
+                yield from flush(10_000)
+            yield from flush(0)
+
+        shown = {n.lower() for n in names}
+        if probe.group_local(by) and {k.lower() for k in by} <= shown:
+            # Whole groups go to tasks by their key; the order of the groups comes after.
+            dealt = df.repartition(*by).sortWithinPartitions(*key_order(src.by), RID).drop(RID).mapInPandas(run, schema)
+            return {t: with_rid(dealt.where(F.col("__t") == t).drop("__t").orderBy(*key_order(src.by), RID).drop(RID)) for t in targets}
         # One ordered task: the step may keep values from row to row.
         made = df.drop(RID).coalesce(1).mapInPandas(run, schema)
         return {t: made.where(F.col("__t") == t).drop("__t") for t in targets}
