@@ -190,3 +190,16 @@ def embedding_components(vectors: DataFrame, vec_id: str = "vec_id", embedding:
 
 def op4_query(spark, sf_dir):
     return embedding_components(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+#: Every pair, which only a small table allows.
+OP4_SQL = """
+with recursive v as (select vec_id, embedding::double[] as e from embeddings),
+ok as (select * from v where e is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+links as (select a.vec_id as a, b.vec_id as b from ok a join ok b on a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(id, r) as (select vec_id, vec_id from v union select links.b, reach.r from reach join links on links.a = reach.id),
+comp as (select id, min(r) as r from reach group by 1),
+n as (select a, count(*) as k from links group by 1)
+select v.vec_id, coalesce(n.k, 0)::bigint as n_links, comp.r as component_id, v.vec_id = comp.r as kept
+from v join comp on comp.id = v.vec_id left join n on n.a = v.vec_id
+"""

@@ -197,3 +197,50 @@ def op7_query(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     counts = Scratch(spark, "quality").put(with_counts(docs, "text", ["doc_id", "lang", "source"]))
     return judge(counts).select("doc_id", *COUNTS, "base_failed", "kept")
+
+
+_SQL_METRICS = ", ".join(f"{{'m': '{m}', 'x': {e.replace('n_', 'q.n_').replace('word_chars', 'q.word_chars')}, 'slack': {SLACK[m]}}}" for m, e in METRICS.items())
+
+OP7_SQL = rf"""
+with d as (
+  select doc_id, lang, source, coalesce(text, '') as text,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+lines as (
+  select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from d),
+dup as (
+  select doc_id, count(*) as n from (
+    select *, row_number() over (partition by doc_id, line order by pos) as k from lines)
+  where k > 1 and regexp_matches(line, '[^\x20\x09-\x0D]') group by 1),
+win as (
+  select doc_id, i, array_to_string(ws[i:i + 7], ' ') as w from (select doc_id, ws, unnest(range(1, len(ws) - 6)) as i from d)),
+hit as (select doc_id, i from (select *, count(*) over (partition by doc_id, w) as n from win) where n > 1),
+rep as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + 8)) as p from hit) group by 1),
+q as (
+  select d.doc_id, lang, source, len(ws)::bigint as n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint as word_chars,
+         (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols, coalesce(dup.n, 0)::bigint as n_dup_lines, coalesce(rep.n, 0)::bigint as n_repeat_words
+  from d left join dup using (doc_id) left join rep using (doc_id)),
+q2 as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from q),
+metric as (
+  select doc_id, lang, source, base_failed, e.m as m, e.x as x, e.slack as slack, case when e.x > 0 then floor(ln(e.x) * {SCALE!r})::int end as bucket
+  from (select doc_id, lang, source, base_failed, unnest([{_SQL_METRICS}]) as e from q2 q where n_words > 0)),
+fine as (select lang, source, m, slack, bucket, count(*) as n from metric where not base_failed group by all),
+lvl as (
+  select 0 as lv, lang, source, m, slack, bucket, n from fine
+  union all select 1, lang, null, m, slack, bucket, sum(n) from fine group by all
+  union all select 2, null, null, m, slack, bucket, sum(n) from fine group by all),
+run as (
+  select *, sum(n) over (partition by lv, lang, source, m order by bucket nulls first) as upto, sum(n) over (partition by lv, lang, source, m) as total,
+         case when bucket is null then 0.0 else exp((bucket + 0.5) / {SCALE!r}) end as v from lvl),
+quart as (
+  select lv, lang, source, m, slack, max(total) as total, min(case when upto >= ceil(total * 0.25) then v end) as q1, min(case when upto >= ceil(total * 0.75) then v end) as q3
+  from run group by all),
+lim as (select *, q3 + greatest(6.0 * (q3 - q1), slack) as most from quart where total >= 200 or lv = 2),
+over as (
+  select metric.doc_id, count(*) as n from metric
+  left join lim a on a.lv = 0 and a.lang is not distinct from metric.lang and a.source is not distinct from metric.source and a.m = metric.m
+  left join lim b on b.lv = 1 and b.lang is not distinct from metric.lang and b.m = metric.m
+  left join lim c on c.lv = 2 and c.m = metric.m
+  where metric.x > coalesce(a.most, b.most, c.most) group by 1)
+select q2.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and over.n is null as kept
+from q2 left join over using (doc_id)
+"""

@@ -19,4 +19,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_line_dedup": line_dedup.OP1_SQL,
+    "op4_embedding_dedup": embed_dedup.OP4_SQL,
+    "op7_quality_rules": quality.OP7_SQL,
 }
