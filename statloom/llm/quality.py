@@ -18,6 +18,8 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Relative width of a sketch's buckets: quantiles are right within two per cent.
 GAMMA = 1.02
 SCALE = 1.0 / math.log(GAMMA)
+#: Limits of at most so many languages and sources, some 300 bytes each, are broadcast.
+BROADCAST_GROUPS = 50_000
 
 
 def repeated_words(words: list[bytes], window: int = 8) -> int:
@@ -174,6 +176,11 @@ def judge(counts: DataFrame, lang: str = "lang", source: str = "source", basis:
     at = fresh_name(counts.columns, "limits")
     l2, s2 = fresh_name(counts.columns, "limit_lang"), fresh_name(counts.columns, "limit_source")
     limits = limits.select(F.col(lang).alias(l2), F.col(source).alias(s2), F.col("limits").alias(at))
+    # One small row a group: broadcast where that is checked, so that texts stay where they
+    # are and a large source's rows need not meet; beyond it the join is Spark's to deal.
+    limits = Scratch(counts.sparkSession, "limits").put(limits)
+    if limits.count() <= BROADCAST_GROUPS:
+        limits = F.broadcast(limits)
     out = counts.join(limits, F.col(lang).eqNullSafe(F.col(l2)) & F.col(source).eqNullSafe(F.col(s2)), "left")
     out = out.withColumn("base_failed", base_failed())
     return out.withColumn("kept", ~F.col("base_failed") & verdict(F.col(at))).drop(at, l2, s2)
