@@ -33,7 +33,9 @@ def pair_by_opening(convs: DataFrame) -> DataFrame:
     ids and hashes are ranked; the turns join them where they lie and are shuffled once,
     to their pair. Turns without a conv_id are one conversation, which pairs with none."""
     first = F.element_at("turns", 1)
-    keyed = convs.where("conv_id is not null").select("conv_id", F.xxhash64(first).alias("k1"), F.xxhash64(F.lit(1), first).alias("k2"))
+    # One filter for both uses, so that Spark sees one plan and shuffles the turns once.
+    named = convs.where("conv_id is not null")
+    keyed = named.select("conv_id", F.xxhash64(first).alias("k1"), F.xxhash64(F.lit(1), first).alias("k2"))
     keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("conv_id"), F.lit(SALTS)).cast("int"))
     counts = keyed.groupBy("k1", "k2", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("k1", "k2").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
@@ -42,7 +44,7 @@ def pair_by_opening(convs: DataFrame) -> DataFrame:
     ranked = keyed.withColumn("r", F.row_number().over(within) - 1).join(shift, ["k1", "k2", "salt"])
     ranked = ranked.select("conv_id", "k1", "k2", (F.col("r") + F.col("shift")).alias("r"))
     row = F.struct("conv_id", "turns")
-    paired = convs.join(ranked, "conv_id").groupBy("k1", "k2", F.shiftright("r", 1).alias("pair")).agg(
+    paired = named.join(ranked, "conv_id").groupBy("k1", "k2", F.shiftright("r", 1).alias("pair")).agg(
         F.max(F.when(F.col("r") % 2 == 0, row)).alias("c"), F.max(F.when(F.col("r") % 2 == 1, row)).alias("x")
     )
     paired = paired.select(F.col("c.conv_id").alias("chosen_id"), F.col("x.conv_id").alias("rejected_id"), F.col("c.turns").alias("chosen"), F.col("x.turns").alias("rejected"))
