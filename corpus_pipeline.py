@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from statloom.llm.common import Scratch
 from statloom.llm.line_dedup import dedup_lines
+from statloom.llm.near_copies import dedup_near_copies
 from statloom.llm.packing import pack_documents
 from statloom.llm.pii import replace_pii
 from statloom.llm.quality import quality_filter
-from statloom.llm.simhash import near_dedup
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -34,8 +34,8 @@ def line_dedup(spark, docs, sf_dir):
 
 
 def simhash_near_dedup(spark, docs, sf_dir):
-    """One document of each near-duplicate group stays."""
-    return near_dedup(docs, width=4, distance=4).select(*COLUMNS)
+    """One document of each group of near copies stays: of 5-word shingles alike by 0.8."""
+    return dedup_near_copies(docs, width=5, similarity=0.8).select(*COLUMNS)
 
 
 def pii(spark, docs, sf_dir):

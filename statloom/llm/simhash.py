@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,17 +22,21 @@ SEGMENTS = 32
 _MEET = 0.375
 
 
-def fingerprint_bits(text: bytes | None, width: int = 4, seed: int = 42) -> int:
-    """The 64-bit SimHash of a text's word shingles; 0 if it has no words."""
+def shingle_hashes(text: bytes | None, width: int = 4, seed: int = 42) -> np.ndarray:
+    """A hash per word shingle; of fewer words than ``width``, of all of them; none of none."""
     words = (text or b"").translate(_FOLD).split()
     if not words:
-        return 0
+        return np.array([], dtype="<u8")
     joined = b" ".join(words)
     ends = list(itertools.accumulate(map(len, words), lambda at, n: at + 1 + n))
     starts = [0, *(e + 1 for e in ends[:-1])]
     digest = xxhash.xxh64_intdigest
     hashes = [digest(joined[s:e], seed) for s, e in zip(starts, ends[width - 1 :])] or [digest(joined, seed)]
-    h = np.array(hashes, dtype="<u8")
+    return np.array(hashes, dtype="<u8")
+
+
+def hash_bits(h: np.ndarray) -> int:
+    """The 64-bit SimHash of shingle hashes; 0 of none."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(h), 1 << 16):
         bits = np.unpackbits(h[at : at + (1 << 16)].view(np.uint8), bitorder="little").reshape(-1, 64)
@@ -40,6 +44,11 @@ def fingerprint_bits(text: bytes | None, width: int = 4, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little", signed=True)
 
 
+def fingerprint_bits(text: bytes | None, width: int = 4, seed: int = 42) -> int:
+    """The 64-bit SimHash of a text's word shingles; 0 if it has no words."""
+    return hash_bits(shingle_hashes(text, width, seed))
+
+
 def fingerprints(docs: DataFrame, text: str = "text", width: int = 4, out: str = "fp", keep: list[str] | None = None) -> DataFrame:
     """Adds ``out``, a long with the SimHash of column ``text``; ``keep`` limits the
     other columns (all by default). Null and blank texts get 0."""
@@ -191,6 +200,12 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     group has no doc_id at all: one of each such fingerprint."""
     scratch = Scratch(docs.sparkSession, "neardedup")
     comp = scratch.put(simhash_components(docs, doc_id, text, width, distance))
+    return keep_first(docs, comp, doc_id, lambda rows, mark: fingerprints(rows, text, width, mark), scratch)
+
+
+def keep_first(docs: DataFrame, comp: DataFrame, doc_id: str, marked: Callable[[DataFrame, str], DataFrame], scratch: Scratch) -> DataFrame:
+    """The rows of ``docs`` that near_dedup keeps, by (doc_id, fp, component_id);
+    ``marked`` adds a column of that name with fp."""
     key = fresh_name(docs.columns, "kept")
     best = comp.where("doc_id = component_id").groupBy(F.col("doc_id").alias(key)).count()
     kept = docs.join(best.select(key), F.col(doc_id) == F.col(key), "left_semi")
@@ -202,7 +217,7 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     if not comp.where("doc_id is null").isEmpty():
         alone = comp.where("component_id is null").select(F.col("fp").alias(key)).distinct()
         mark = fresh_name(docs.columns, "fp")
-        nameless = fingerprints(docs.where(F.col(doc_id).isNull()), text, width, mark)
+        nameless = marked(docs.where(F.col(doc_id).isNull()), mark)
         kept = kept.unionByName(nameless.join(alone, F.col(mark) == F.col(key), "left_semi").dropDuplicates([mark]).drop(mark))
     return kept
 

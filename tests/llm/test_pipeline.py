@@ -82,3 +82,47 @@ def test_stages(spark, tmp_path):
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def plain_similarity(a, b, width=5):
+    sets = []
+    for t in (a, b):
+        w = lower(t or "").split()
+        sets.append({tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set())
+    return len(sets[0] & sets[1]) / max(1, len(sets[0] | sets[1]))
+
+
+def test_near_copies_of_many_bits(spark, tmp_path):
+    """Copies with changed words: 0.8 of their shingles are equal, but not their fingerprints."""
+    rnd = random.Random(5)
+    docs, far = {}, 0
+    for k in range(60):
+        words = [f"w{rnd.randrange(5000)}" for _ in range(rnd.randint(40, 200))]
+        docs[2 * k] = " ".join(words)
+        for _ in range(max(1, len(words) // (60 if k % 3 else 25))):
+            words[rnd.randrange(len(words))] = "other"
+        docs[2 * k + 1] = " ".join(words)
+    docs[200], docs[201] = "", None
+    near = {(a, a + 1) for a in range(0, 120, 2) if plain_similarity(docs[a], docs[a + 1]) >= 0.8}
+    far = sum((plain_simhash(docs[a]) ^ plain_simhash(docs[b])).bit_count() > 4 for a, b in near)
+    assert 20 < len(near) < 60 and far > 10
+    rows = [(k, t, "en", "a", None, "extra") for k, t in docs.items()]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, fp string")
+    kept = {r.doc_id for r in dict(cp.STAGES)["SimHash near-dedup"](spark, table, str(tmp_path)).collect()}
+    assert kept == set(docs) - {b for _, b in near} - {201}
+
+
+def test_near_copies_in_blocks(spark):
+    """A chain, each alike to the next only: blocks and sides lose no link."""
+    from statloom.llm.near_copies import similar_components
+
+    words = [f"w{k}" for k in range(200)]
+    docs = [(k, " ".join(words[3 * k : 3 * k + 60])) for k in range(40)] + [(90, "of its own and quite unlike")]
+    got = {r.doc_id: r.component_id for r in similar_components(spark.createDataFrame(docs, "doc_id long, text string"), block=4).collect()}
+    sim = {(a, b): plain_similarity(s, t) for a, s in docs for b, t in docs if a < b}
+    least = {d: d for d, _ in docs}
+    for _ in docs:
+        for (a, b), x in sim.items():
+            if x >= 0.8:
+                least[a] = least[b] = min(least[a], least[b])
+    assert got == least and max(v for v in least.values()) == 90
