@@ -813,6 +813,10 @@ def run_sql(session, text: str) -> None:
             session.options["inobs"] = None
 
 
+#: Rows that a macro list or range may take; more end the program.
+INTO_ROWS = 65_536
+
+
 def _select(session, planner, s, noprint, opts):
     p = SqlParser(tokenize(s))
     q = p.query()
@@ -823,7 +827,16 @@ def _select(session, planner, s, noprint, opts):
     if into:
         from statloom.formats import best
 
-        rows = df.limit(65_536).collect()
+        # Lists and open ranges take every row, the others only the first ones.
+        rows = df.limit(INTO_ROWS + 1).collect()
+        if len(rows) > INTO_ROWS:
+            n = df.count()
+            for item in into:
+                last = re.match(r".*?(\d+)$", item["range"]) if item.get("range") else None
+                if ("sep" in item or "range" in item) and not (last and int(last[1]) - int(re.match(r".*?(\d+)$", item["name"])[1]) < INTO_ROWS):
+                    raise UnsupportedFeature(f"INTO of {n} rows, more than {INTO_ROWS}")
+        else:
+            n = len(rows)
         show = lambda v, trim: (best(v, 8) if not isinstance(v, str) else v).strip() if trim or not isinstance(v, str) else v
         for k, item in enumerate(into):
             col = [r[k] for r in rows]
@@ -839,7 +852,7 @@ def _select(session, planner, s, noprint, opts):
             elif col:
                 v = col[0]
                 session.macro.vars[item["name"].lower()] = show(v, item.get("trim")) if isinstance(v, str) else (best(v, 8) if not item.get("trim") else best(v, 8).strip())
-        session.macro.vars["sqlobs"] = str(len(rows))
+        session.macro.vars["sqlobs"] = str(n)
     elif not noprint:
         from statloom.procs import listing
 

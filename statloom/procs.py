@@ -109,8 +109,11 @@ def run(session, text: str) -> None:
 
 
 def listing(session, df: DataFrame, labels: bool = False, number: bool = False) -> int:
-    """Prints a table to the listing: columns padded to their widest value."""
-    rows = df.limit(PRINT_ROWS).collect()
+    """Prints a table to the listing: columns padded to their widest value. More than
+    PRINT_ROWS rows end the program."""
+    rows = df.limit(PRINT_ROWS + 1).collect()
+    if len(rows) > PRINT_ROWS:
+        raise UnsupportedFeature(f"a listing of more than {PRINT_ROWS} rows")
     names = [c for c in df.columns if c != RID]
     specs = {f.name: f.metadata.get("format") for f in df.schema if f.metadata}
     heads = [(df.schema[c].metadata or {}).get("label", c) if labels else c for c in names]

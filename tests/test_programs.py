@@ -295,3 +295,23 @@ def test_streaming_equals_batch(spark):
     got = windowed_means(e, "ts", ["event_type"], "value", "1 day")
     assert got.agg({"n": "sum"}).first()[0] == e.where("value is not null").count()
     assert sessions(e, "ts", ["user_id"]).agg({"n": "sum"}).first()[0] == e.count()
+
+
+def test_select_into_and_listings_are_never_cut(run, spark, monkeypatch):
+    from statloom import procs
+    from statloom.plans import sql
+
+    monkeypatch.setattr(sql, "INTO_ROWS", 5)
+    monkeypatch.setattr(procs, "PRINT_ROWS", 6)
+    data = "data d; do x = 1 to {}; output; end; run; proc sql {}; select x into {} from d; quit;"
+    s, rc, _ = run(data.format(5, "noprint", ":l separated by ','"))
+    assert rc == 0 and s.macro.vars["l"] == "1,2,3,4,5" and s.macro.vars["sqlobs"] == "5"
+    assert run(data.format(8, "noprint", ":l separated by ','"))[1] == 2
+    s, rc, _ = run(data.format(8, "noprint", ":a1 - :a3"))
+    assert rc == 0 and s.macro.vars["a3"] == "3" and s.macro.vars["sqlobs"] == "8"
+    s, rc, _ = run(data.format(8, "noprint", ":a"))
+    assert rc == 0 and s.macro.vars["a"].strip() == "1" and s.macro.vars["sqlobs"] == "8"
+    listed = "data d; do x = 1 to {}; output; end; run; proc sql; select x from d; quit;"
+    s, rc, _ = run(listed.format(6))
+    assert rc == 0 and s.macro.vars["sqlobs"] == "6"
+    assert run(listed.format(7))[1] == 2 and run("data d; do x = 1 to 7; output; end; run; proc print data=d; run;")[1] == 2
