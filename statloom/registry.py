@@ -171,6 +171,19 @@ def merge_by_many_to_many(spark, d):
     return combine.merge_by({"a": a, "b": b}, ["k"], {"a": ["x"], "b": ["y"]}, flags=False).drop("__n")
 
 
+@query("""
+with a as (select user_id k, event_id x, row_number() over (partition by user_id order by event_id) n from events),
+b as (select o_custkey k, o_orderkey y, row_number() over (partition by o_custkey order by o_orderkey) n from orders),
+g as (select k, max(n) m from (select k, n from a union all select k, n from b) group by k), ca as (select k, max(n) m from a group by k), cb as (select k, max(n) m from b group by k),
+s as (select g.k, unnest(generate_series(1, g.m)) n from g)
+select s.k, a.x, b.y from s left join ca on ca.k = s.k left join cb on cb.k = s.k left join a on a.k = s.k and a.n = least(s.n, ca.m) left join b on b.k = s.k and b.n = least(s.n, cb.m)""")
+def merge_by_many_to_many_whole(spark, d):
+    """All events with all orders; merge_by_many_to_many merges two subsets of events, as its SQL says."""
+    a = t(spark, d, "events").select(F.col("user_id").alias("k"), F.col("event_id").alias("x"))
+    b = t(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("y"))
+    return combine.merge_by({"a": a, "b": b}, ["k"], {"a": ["x"], "b": ["y"]}, flags=False).drop("__n")
+
+
 @query("""
 with s as (select s_suppkey, s_name, row_number() over (order by s_suppkey) n from supplier), c as (select c_custkey, c_name, row_number() over (order by c_custkey) n from customer)
 select s_suppkey, s_name, c_custkey, c_name from s full join c using (n)""")

@@ -34,3 +34,10 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_whole_tables_are_merged(spark):
+    got = registry.QUERIES["merge_by_many_to_many_whole"](spark, SF)
+    for table, key, name in (("events", "event_id", "x"), ("orders", "o_orderkey", "y")):
+        whole = spark.read.parquet(f"{SF}/{table}.parquet").select(key).distinct().count()
+        assert got.select(name).dropna().distinct().count() == whole
