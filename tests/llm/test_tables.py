@@ -138,6 +138,27 @@ def test_turns_without_a_conversation(spark):
     assert [p.rejected_id for p in pairs if p.chosen_id is None] == [None]
 
 
+def test_deepest_prefixes_pair_first(spark):
+    says = {1: "abcd", 2: "abce", 3: "abx", 4: "aby", 5: "az", 6: "aw", 7: "q", 8: "abcf"}
+    rows = [(k, n, "user" if n % 2 == 0 else "assistant", x) for k, xs in says.items() for n, x in enumerate(xs)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = [(p.chosen_id, p.rejected_id) for p in chat.pair_by_opening(chat.gather_turns(df)).collect()]
+    depth = lambda a, b: next(n for n in range(5) if says[a][: n + 1] != says[b][: n + 1])
+    assert sorted(i for p in got for i in p if i is not None) == list(range(1, 9))
+    assert sorted(depth(a, b) for a, b in got if b is not None) == [1, 2, 3] and (7, None) in got
+
+
+def test_conversations_reject_their_own_variant(spark):
+    rows = [(k, n, r, f"{k} {n}") for k, rs in ((1, "uaua"), (2, "ua"), (3, "suauau"), (4, "u")) for n, r in enumerate(rs)]
+    rows = [(k, n, {"u": "user", "a": "assistant", "s": "system"}[r], t) for k, n, r, t in rows]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    pairs = chat.own_rejected(chat.pair_by_opening(chat.gather_turns(df)))
+    got = {r.chosen_id: r for r in chat.format_preferences(pairs).collect()}
+    assert {k for k, r in got.items() if r.rejected_text is not None} == {1, 3}
+    assert (got[1].n_prompt_turns, got[1].chosen_text, got[1].rejected_text) == (3, "<|assistant|>\n1 3<|end|>\n", "<|assistant|>\n1 1<|end|>\n")
+    assert got[3].n_prompt_turns == 4 and got[3].rejected_id == 3 and got[3].rejected_text == "<|assistant|>\n3 2<|end|>\n"
+
+
 URLS = [
     (1, "https://WWW.Example.ORG/es/1?x=/en/", "www.example.org", "/es/1", "example.org/es/", "block"),
     (2, "http://example.org/en/12", "example.org", "/en/12", "example.org/en/1", "block"),
