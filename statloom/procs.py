@@ -52,6 +52,17 @@ class Proc:
             df = self.where(df)
         return df
 
+    def only(self, options: set[str], statements: set[str]) -> None:
+        """Options and statements other than these end the program."""
+        head = re.sub(r"\((?:[^()]|\([^()]*\))*\)", " ", self.head)
+        given = re.findall(r"(\w+)\s*(?:=\s*(?:'[^']*'|\"[^\"]*\"|[\w.]+))?", head)
+        for word in given:
+            if word.lower() not in options:
+                raise UnsupportedFeature(f"option {word.upper()} of PROC {self.name.upper()}")
+        for word in self.st:
+            if word not in statements | {"where", "format", "label", "run", "quit"} and not re.match(r"(title|footnote)\d*$", word):
+                raise UnsupportedFeature(f"{word.upper()} in PROC {self.name.upper()}")
+
     def where(self, df: DataFrame) -> DataFrame:
         from statloom.session import env_of
 
@@ -558,6 +569,7 @@ def proc_import(p: Proc) -> None:
 
 
 def proc_corr(p: Proc) -> None:
+    p.only({"data", "out", "outp", "pearson", "spearman", "kendall", "alpha", "noprint", "nosimple", "noprob"}, {"var", "with", "weight"})
     df = p.data()
     var = p.names("var", df) or p.numeric(df)
     with_ = p.names("with", df)
@@ -580,9 +592,12 @@ def proc_corr(p: Proc) -> None:
 
 
 def proc_univariate(p: Proc) -> None:
+    p.only({"data", "noprint"}, {"var", "class", "output"})
     df = p.data()
     classes = p.names("class", df)
     var = p.names("var", df) or p.numeric(df, classes)
+    if len(var) > 1 and "output" in p.st:
+        raise UnsupportedFeature("OUTPUT of several variables in PROC UNIVARIATE")
     for v in var:
         made = univariate.moments(df, v, classes)
         if not p.flag("noprint"):
@@ -590,7 +605,10 @@ def proc_univariate(p: Proc) -> None:
         for text in p.st.get("output", []):
             out = re.search(r"out\s*=\s*([\w.]+)", text, re.I)[1]
             pairs = re.findall(r"(\w+)\s*=\s*(\w+)", re.sub(r"out\s*=\s*[\w.]+", "", text, flags=re.I))
-            stats = tuple(k.lower() for k, _ in pairs if k.lower() in _STATS)
+            other = re.sub(r"\w+\s*=\s*[\w.]+", "", text).split() + [k for k, _ in pairs if k.lower() not in _STATS]
+            if other:
+                raise UnsupportedFeature(f"{other[0].upper()} in OUTPUT of PROC UNIVARIATE")
+            stats = tuple(k.lower() for k, _ in pairs)
             got = summary.means(df, [v], stats, classes=classes, nway=True, names={(v, k.lower()): n for k, n in pairs})
             p.s.store(out, got.drop("_TYPE_", "_FREQ_"))
 

@@ -315,3 +315,21 @@ def test_select_into_and_listings_are_never_cut(run, spark, monkeypatch):
     s, rc, _ = run(listed.format(6))
     assert rc == 0 and s.macro.vars["sqlobs"] == "6"
     assert run(listed.format(7))[1] == 2 and run("data d; do x = 1 to 7; output; end; run; proc print data=d; run;")[1] == 2
+
+
+def test_corr_and_univariate_drop_nothing_silently(run):
+    data = "data d; input x y z; datalines;\n1 2 3\n2 1 5\n3 5 4\n4 4 9\n;\n"
+    good = ["proc corr data=d spearman noprint outp=o; var x y; run;", "proc univariate data=d noprint; var x; output out=o mean=m p95=q; run;"]
+    bad = [
+        "proc corr data=d; var x y; partial z; run;",
+        "proc corr data=d hoeffding; var x y; run;",
+        "proc corr data=d fisher(biasadj=no); var x y; run;",
+        "proc univariate data=d normal; var x; run;",
+        "proc univariate data=d; var x; histogram x / normal; run;",
+        "proc univariate data=d noprint; var x; output out=o mean=m normaltest=k; run;",
+        "proc univariate data=d noprint; var x y; output out=o mean=m n; run;",
+    ]
+    for text in good:
+        s, rc, (o,) = run(data + text, "o")
+        assert rc == 0 and o
+    assert [run(data + text)[1] for text in bad] == [2] * len(bad)
