@@ -193,7 +193,10 @@ def test_bpe_round_trip(docs):
         assert got[d].decoded == hf.decode(ids, skip_special_tokens=False)
 
 
-@pytest.mark.parametrize("text", ["=-" * 300, "a" * 500, "ΑΣ Σ ΣΑ", "<|startoftext|>Hi<|endoftext|>", "it's we'll 12½", "\x1c x", "é"])
+ODD = ["=-" * 300, "a" * 500, "ab" * 4001, "漢字" * 900, "ΑΣ Σ ΣΑ", "<|startoftext|>Hi<|endoftext|>", "<|endoftext|>" * 3, "a <| b", "it's we'll 12½", "\x1c x", "é", "x\U00011935\U00011930y", "\u2003a\u3000b\x85c", "Q" * 70 + "w" * 64]
+
+
+@pytest.mark.parametrize("text", ODD)
 def test_bpe_odd_texts(text):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -202,6 +205,46 @@ def test_bpe_odd_texts(text):
     assert bpe.Bpe.load(path).encode([text])[0].tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
 
 
+def test_bpe_every_code_point():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    mine, library = bpe.Bpe.load(path), Tokenizer.from_file(path)
+    texts = [f"a{chr(c)}b" for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(texts), 100_000):
+        part = texts[at : at + 100_000]
+        for t, got, want in zip(part, mine.encode(part), library.encode_batch(part, add_special_tokens=False)):
+            assert got.tolist() == want.ids, hex(ord(t[1]))
+
+
+def test_bpe_long_words_by_either_rounds():
+    import random
+
+    import public_tokenizers
+
+    model = bpe.Bpe.load(public_tokenizers.path("word_bpe_49k.json"))
+    rnd = random.Random(2)
+    words = ["".join(rnd.choice("abetrnioslg") for _ in range(rnd.randint(65, 400))).encode() for _ in range(40)]
+    assert model.ordered
+    by_rank = model.words(words)
+    model.ordered = False
+    assert model.words(words) == by_rank
+
+
+def test_bpe_empty_and_other_columns(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = spark.createDataFrame([(1, "Hi there", 5, None), (1, "Hi there", 5, None)], "doc_id long, text string, raw int, decoded string")
+    got = bpe.bpe_encode(rows, path, decoded="decoded").collect()
+    assert len(got) == 2 and got[0] == got[1] and got[0].raw == 5 and got[0].decoded == "hi</w> there</w>"
+    assert bpe.bpe_encode(rows.limit(0), path).count() == 0
+    ids = spark.createDataFrame([([1, None, 9_999_999, 2],), (None,), ([],)], "ids array<int>")
+    model = bpe.Bpe.load(path)
+    assert [r.decoded for r in bpe.bpe_decode(ids, path).collect()] == [f"{model.tokens[1]} {model.tokens[2]}", "", ""]
+
+
 def test_packing(docs):
     import zlib
 
@@ -237,34 +280,62 @@ def test_packing(docs):
     assert len(rooms) <= least * 1.2 + 1
 
 
-def test_best_fit_rounds_is_best_fit_decreasing():
+def best_fit_decreasing(sizes, capacity):
+    """How many sequences best-fit decreasing opens."""
+    gaps, made = Counter(), 0
+    for size in sorted(sizes, reverse=True):
+        gap = next((g for g in range(size, capacity + 1) if gaps[g]), None)
+        if gap is None:
+            gap, made = capacity, made + 1
+        else:
+            gaps[gap] -= 1
+        gaps[gap - size] += 1
+    return made
+
+
+@pytest.mark.parametrize("low, high, count", [(1, 50, 500), (1, 6, 300), (20, 50, 200), (50, 50, 7), (1, 1, 120)])
+def test_places_equal_best_fit_decreasing(spark, low, high, count):
     import random
 
     rnd = random.Random(5)
-    sizes = Counter(rnd.randint(1, 50) for _ in range(500))
-    entries, made = packing.best_fit_rounds(sizes, 50)
-    bins = []
-    for s in sorted(sizes.elements(), reverse=True):
-        fits = [b for b in bins if b[0] >= s]
-        if fits:
-            min(fits)[0] -= s
-        else:
-            bins.append([50 - s])
-    assert made == len(bins)
-    placed = [(q + k, off, size) for size, lo, hi, q, off in entries for k in range(hi - lo)]
-    assert len(placed) == 500
+    sizes = [rnd.randint(low, high) for _ in range(count)] + [50, 50]
+    rows = spark.createDataFrame([(k % 9, s, "x") for k, s in enumerate(sizes)], "doc_id int, length long, n string")
+    got = packing.place(rows, 50).collect()
+    assert Counter(r.length for r in got) == Counter(sizes)
+    rooms = {}
+    for r in got:
+        rooms.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for room in rooms.values():
+        at = 0
+        for offset, length in sorted(room):
+            assert offset == at
+            at += length
+        assert at <= 50
+    assert len(rooms) <= best_fit_decreasing(sizes, 50) * 1.01
+
+
+def test_packing_empty(spark):
+    import public_tokenizers
+
+    empty = spark.createDataFrame([], "doc_id long, text string, length int")
+    assert packing.pack_documents(empty, public_tokenizers.path("byte_bpe_50k.json")).count() == 0
 
 
 def test_tokenizer_equals_library():
+    import random
+
     import public_tokenizers
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     with open(path) as f:
-        encode = packing.chunk_encoder(f.read())
+        encoder = packing.ChunkEncoder(f.read())
     hf = Tokenizer.from_file(path)
-    for t in ["", " ", "a  b", "a \n b\n\nc ", "x  y", "don't it's", "<|endoftext|> a", "é ñ 漢字 ½ 12 3", "tab\t x"]:
-        assert encode(t) == hf.encode(t, add_special_tokens=False).ids
+    rnd = random.Random(8)
+    texts = ["", " ", "a  b", "a \n b\n\nc ", "x  y", "don't it's", "<|endoftext|> a", "é ñ 漢字 ½ 12 3", "tab\t x", "\ufdd0 x", "\n\n\n", "a" * 3000]
+    texts += ["".join(rnd.choice("ab  \n\t\r\x85'.1é\u3000") for _ in range(rnd.randint(0, 20))) for _ in range(3000)]
+    for t, want in zip(texts, hf.encode_batch(texts, add_special_tokens=False)):
+        assert encoder.encode(t) == want.ids, t
 
 
 PII = [
