@@ -4,10 +4,10 @@ DataFrame functions only."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.common import Scratch, fresh_name, table
+from statloom.llm.common import Scratch, fresh_name, ranked_within, table
 
 #: Kinds in order of precedence, and what matches them (Java patterns).
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -56,6 +56,10 @@ _SYLLABLES = {
 }
 
 
+#: Endings of made given names.
+ENDINGS = {"mL": "o", "fL": "ia", "mC": "й", "fC": "я"}
+
+
 def kind_of(surface: Column) -> Column:
     """The kind of a surface. A secret has lost the label that stood before it, so it is
     what nothing else fits."""
@@ -88,15 +92,17 @@ def parts_of(kind: Column, surface: Column) -> Column:
     return F.when(kind == "name", name).otherwise(F.array(part(0, kind, norm)))
 
 
-def surrogate(type_: Column, norm: Column, attempt: Column, key: str) -> Column:
-    """The keyed replacement of a norm, of its type and shape: digits for digits, letters
-    for letters of the same case, hexadecimal for hexadecimal, what doesn't tell a person
-    (country code, network digit, key prefix, top domain) as it is."""
-    seed = F.concat_ws("|", F.lit(key), type_, norm, attempt.cast("string"))
-    stream = F.concat(F.sha2(seed, 512), F.sha2(F.concat(seed, F.lit("+")), 512))
-    # Three hexadecimal digits per place: 85 places, then over again.
-    draw = lambda i: F.conv(F.substring(stream, (i % 85) * 3 + 1, F.lit(3)), 16, 10).cast("int")
-    number = lambda k: F.conv(F.substring(stream, F.lit(3 * k + 1), F.lit(3)), 16, 10).cast("int")
+def _syllables(script: str, number: Column, least: int) -> Column:
+    """A number's hexadecimal digits as syllables, ``least`` at least: one to one."""
+    table_ = F.create_map(*[F.lit(x) for n, syllable in enumerate(_SYLLABLES[script]) for x in (f"{n:X}", syllable)])
+    digits = F.hex(number)
+    digits = F.lpad(digits, F.greatest(F.length(digits), F.lit(least)).cast("int"), F.lit("0"))
+    return F.array_join(F.transform(F.split(digits, ""), lambda d: F.coalesce(F.try_element_at(table_, d), F.lit(""))), "")
+
+
+def _shaped(type_: Column, norm: Column, draw) -> Column:
+    """The norm with its free places drawn anew: digits for digits, letters for letters of
+    the same case, hexadecimal for hexadecimal."""
     hexed = norm.rlike("^[0-9a-f]+$")
     digit = lambda i: F.substring(F.lit("0123456789"), draw(i) % 10 + 1, F.lit(1))
     lower = lambda i: F.when(hexed, F.substring(F.lit("abcdef"), draw(i) % 6 + 1, F.lit(1))).otherwise(F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), draw(i) % 26 + 1, F.lit(1)))
@@ -106,21 +112,41 @@ def surrogate(type_: Column, norm: Column, attempt: Column, key: str) -> Column:
     held = F.when(type_ == "awskey", 4).when(type_ == "card", 1).when(type_ == "iban", 2).when((type_ == "phone") & (F.length(norm) > 10), F.length(norm) - 10).otherwise(0)
     from_right = F.when(type_ == "email", F.length(F.substring_index(norm, ".", -1)) + 1).otherwise(0)
     size = F.length(norm)
-    fixed = F.concat(F.substring(norm, F.lit(1), held), F.substring(shaped, held + 1, F.greatest(size - held - from_right, F.lit(0))), F.substring(norm, size - from_right + 1, from_right))
+    return F.concat(F.substring(norm, F.lit(1), held), F.substring(shaped, held + 1, F.greatest(size - held - from_right, F.lit(0))), F.substring(norm, size - from_right + 1, from_right))
+
+
+def surrogate(type_: Column, norm: Column, attempt: int, place: Column, key: str) -> Column:
+    """The keyed replacement of a norm, of its type and shape: digits for digits, letters
+    for letters of the same case, what doesn't tell a person (country code, network digit,
+    key prefix, top domain) as it is.
+
+    Names are drawn from a list, then from syllables. From the third attempt on names,
+    and from the fourth on addresses, which may be too short for all to differ, spell the
+    number ``place`` in syllables, of which there are more the larger it is; names of
+    different numbers differ."""
+    seed = F.concat_ws("|", F.lit(key), type_, norm, F.lit(str(attempt)))
+    stream = F.concat(F.sha2(seed, 512), F.sha2(F.concat(seed, F.lit("+")), 512))
+    # Three hexadecimal digits per place: 85 places, then over again.
+    draw = lambda i: F.conv(F.substring(stream, (i % 85) * 3 + 1, F.lit(3)), 16, 10).cast("int")
+    number = lambda k: draw(F.lit(k))
+    fixed = _shaped(type_, norm, draw)
     # A card whose check digit is right gets one that is right, too.
-    with_check = F.when(luhn_sum(norm) % 10 == 0, F.concat(F.substring(fixed, F.lit(1), size - 1), ((10 - luhn_sum(F.concat(F.substring(fixed, F.lit(1), size - 1), F.lit("0"))) % 10) % 10).cast("string"))).otherwise(fixed)
+    body = F.substring(fixed, F.lit(1), F.length(norm) - 1)
+    with_check = F.when(luhn_sum(norm) % 10 == 0, F.concat(body, ((10 - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string"))).otherwise(fixed)
     octets = F.concat_ws(".", *[(number(k) % 254 + 1).cast("string") for k in range(4)])
     pick = lambda items, n: F.element_at(F.array(*map(F.lit, items)), n % len(items) + 1)
     out = F.when(type_ == "ip", octets).when(type_ == "card", with_check).otherwise(fixed)
+    if attempt >= 3:
+        spelt = F.concat(_syllables("L", place, 4), F.lit("@"), pick(_SYLLABLES["L"], number(5)), pick(_SYLLABLES["L"], number(6)), F.lit("."), F.substring_index(norm, ".", -1))
+        out = F.when(type_ == "email", spelt).otherwise(out)
     for g, names in GIVEN.items():
-        # Beyond the list's length a second name keeps people apart.
-        more = F.when(attempt > 0, F.concat(F.lit("-"), pick(names, number(5)))).otherwise(F.lit(""))
-        out = F.when(type_ == f"given{g}", F.concat(pick(names, number(4)), more)).otherwise(out)
-    for script, ends in (("L", {"": ""}), ("C", {"m": "ин", "f": "ина"})):
-        for g, end in ends.items():
-            syllables = [pick(_SYLLABLES[script], number(k)) for k in (6, 7, 8)]
-            more = F.when(attempt > 0, pick(_SYLLABLES[script], number(9))).otherwise(F.lit(""))
-            out = F.when(type_ == f"family{g}{script}", F.initcap(F.concat(*syllables, more, F.lit(end)))).otherwise(out)
+        drawn = F.concat(*[pick(_SYLLABLES[g[1]], number(k)) for k in (6, 7, 8)])
+        made = pick(names, number(4)) if attempt == 0 else F.initcap(F.concat(drawn if attempt == 1 else _syllables(g[1], place, 4), F.lit(ENDINGS[g])))
+        out = F.when(type_ == f"given{g}", made).otherwise(out)
+    for family, end in (("L", ""), ("mC", "ин"), ("fC", "ина")):
+        drawn = F.concat(*[pick(_SYLLABLES[family[-1]], number(k)) for k in range(6, 9 + attempt)])
+        made = drawn if attempt < 2 else _syllables(family[-1], place, 5)
+        out = F.when(type_ == f"family{family}", F.initcap(F.concat(made, F.lit(end)))).otherwise(out)
     return out
 
 
@@ -130,34 +156,42 @@ def luhn_sum(number: Column) -> Column:
     return F.coalesce(F.aggregate(F.transform(digits, value), F.lit(0), lambda a, b: a + b), F.lit(-1))
 
 
-def surrogates(entities: DataFrame, key: str, scratch: Scratch, attempts: int = 12) -> DataFrame:
+def surrogates(entities: DataFrame, key: str, scratch: Scratch, attempts: int = 40) -> DataFrame:
     """(type, norm, fake) for distinct (type, norm), with one fake for each within a type.
 
-    Fakes of the first attempt are checked against each other and against all real norms;
-    of those that meet, the first keeps the fake, the others draw again. Small families of
-    values (given names) can run out: then a number tells the rest apart."""
+    Fakes are checked against each other and against all real norms; of those that meet,
+    the least norm keeps the fake, the others draw again. Draws of the first attempts
+    depend on the norm alone, so an entity mostly keeps its surrogate whatever else the
+    corpus holds; later ones number what is left (``surrogate``) in an order fixed by
+    the key, so names never run out. Numbers of a fixed format can: where ``attempts``
+    leave some without, that is an error, never a fake of another form. Only (type, norm)
+    rows meet; a fake that many draw is found by partial minima."""
     real = scratch.put(entities)
-    todo = real.withColumn("attempt", F.lit(0))
+    known = real.select(F.col("type").alias("real_type"), F.lower("norm").alias("real_norm")).distinct()
+    todo = real.withColumn("place", F.lit(0).cast("long"))
     fixed: list[DataFrame] = []
-    fakes = None
+    given = 0
     for attempt in range(attempts):
-        drawn = todo.withColumn("fake", surrogate(F.col("type"), F.col("norm"), F.lit(attempt), key))
-        known = real.select(F.col("type").alias("real_type"), F.lower("norm").alias("real_norm"))
-        taken = drawn.join(known.distinct(), (F.col("type") == F.col("real_type")) & (F.lower("fake") == F.col("real_norm")), "left").withColumn("clash", F.col("real_type").isNotNull()).drop("real_type", "real_norm")
-        if fakes is not None:
-            used = fakes.select(F.col("type").alias("used_type"), F.col("fake").alias("used_fake"))
-            taken = taken.join(used, (F.col("type") == F.col("used_type")) & (F.col("fake") == F.col("used_fake")), "left").withColumn("clash", F.col("clash") | F.col("used_type").isNotNull()).drop("used_type", "used_fake")
-        rank = F.row_number().over(Window.partitionBy("type", "fake").orderBy("norm"))
-        tried = scratch.put(taken.withColumn("clash", F.col("clash") | (rank > 1)))
-        fixed.append(tried.where("not clash").select("type", "norm", "fake"))
-        fakes = fixed[0] if len(fixed) == 1 else fakes.unionByName(fixed[-1])
-        todo = tried.where("clash").select("type", "norm", "attempt")
-        if todo.isEmpty():
-            return fakes
-    # Still without one: the fake and a number; letters only keep a name's look.
-    rest = todo.withColumn("fake", surrogate(F.col("type"), F.col("norm"), F.lit(0), key))
-    rest = rest.withColumn("fake", F.concat("fake", F.lit("-"), F.sha2(F.concat_ws("|", F.lit(key), "norm"), 256).substr(1, 12)))
-    return fakes.unionByName(rest.select("type", "norm", "fake"))
+        drawn = scratch.put(todo.select("type", "norm", surrogate(F.col("type"), F.col("norm"), attempt, F.col("place"), key).alias("fake")))
+        first = drawn.groupBy("type", "fake").agg(F.min("norm").alias("norm"))
+        free = first.join(known, (F.col("type") == F.col("real_type")) & (F.lower("fake") == F.col("real_norm")), "left_anti")
+        if fixed:
+            used = scratch.all(*fixed).select(F.col("type").alias("used_type"), F.col("fake").alias("used_fake"))
+            free = free.join(used, (F.col("type") == F.col("used_type")) & (F.col("fake") == F.col("used_fake")), "left_anti")
+        fixed.append(scratch.put(free.select("type", "norm", "fake")))
+        rest = drawn.select("type", "norm").join(fixed[-1].select("type", "norm"), ["type", "norm"], "left_anti")
+        if attempt == 0:
+            todo = scratch.put(rest.withColumn("place", F.lit(0).cast("long")))
+        else:
+            order = F.sha2(F.concat_ws("|", F.lit(key), "norm"), 256)
+            ranked = ranked_within(rest.withColumn("keyed", order), ["type"], ["keyed", "norm"], "place", salts=16)
+            todo = scratch.put(ranked.select("type", "norm", (F.col("place") + F.lit(given)).alias("place")))
+        left = todo.count()
+        if not left:
+            return scratch.all(*fixed)
+        # The next attempt's numbers begin beyond this one's.
+        given += left
+    raise ValueError(f"{left} entities found no surrogate of their format in {attempts} attempts")
 
 
 def render(kind: Column, surface: Column, fakes: Column) -> Column:
@@ -181,35 +215,35 @@ def replace_pii(docs: DataFrame, text: str = "text", key: str = "statloom", n_en
     number of replacements as ``n_entities`` (no column if None).
 
     The same entity has the same surrogate in all documents, different ones have
-    different ones. Null texts stay null; texts without entities pass by unread by the
-    later steps. Only texts with entities are written out and joined, by a row number
+    different ones. Null texts stay null, empty ones empty. Matches are found once, beside
+    the text, which is then written; only texts with entities are joined, by a row number
     given then, so rows need no key and may repeat. An entity that a third of all
     documents hold is one row of the entity table; its joins are of a kind that Spark
-    splits where they are skewed."""
+    splits where they are skewed. No rows, no result."""
     scratch = Scratch(docs.sparkSession, "pii")
     cols = docs.columns
-    names = {c: fresh_name(["rid", "kind", "surface", "parts"], f"c{k}") for k, c in enumerate(cols)}
+    names = {c: f"c{k}" for k, c in enumerate(cols)}
     body = names[text]
     plain = docs.select(*[F.col(c).alias(n) for c, n in names.items()])
-    has = may_have(F.col(body))
-    hits = scratch.put(plain.where(has).withColumn("rid", F.monotonically_increasing_id()))
-    found = hits.select("rid", F.explode(F.array_distinct(F.regexp_extract_all(body, F.lit(PATTERN), 0))).alias("surface"))
+    matched = F.when(may_have(F.col(body)), F.regexp_extract_all(body, F.lit(PATTERN), 0))
+    all_ = scratch.put(plain.withColumn("matches", matched).withColumn("rid", F.monotonically_increasing_id()))
+    hits = all_.where("matches is not null")
+    found = hits.select("rid", F.explode(F.array_distinct("matches")).alias("surface"))
     typed = found.withColumn("kind", kind_of(F.col("surface")))
     parts = scratch.put(typed.select("rid", "surface", "kind", F.explode(parts_of(F.col("kind"), F.col("surface"))).alias("p")).select("rid", "surface", "kind", "p.at", "p.type", "p.norm"))
     fakes = surrogates(parts.select("type", "norm").distinct(), key, scratch)
     joined = parts.join(fakes, ["type", "norm"])
     per = joined.groupBy("rid", "surface", "kind").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "fake"))), lambda p: p["fake"]).alias("fakes"))
     maps = per.select("rid", "surface", render(F.col("kind"), F.col("surface"), F.col("fakes")).alias("new")).groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("surface", "new"))).alias("map"))
-    matches = F.regexp_extract_all(body, F.lit(PATTERN), 0)
-    new = F.transform(matches, lambda m: F.coalesce(F.try_element_at(F.col("map"), m), m))
+    new = F.transform("matches", lambda m: F.coalesce(F.try_element_at(F.col("map"), m), m))
     gaps = F.split(F.col(body), PATTERN, -1)
     merged = F.array_join(F.zip_with(gaps, F.array_append(new, ""), lambda g, s: F.concat(F.coalesce(g, F.lit("")), F.coalesce(s, F.lit("")))), "")
-    count = fresh_name(cols, "n")
-    changed = hits.join(maps, "rid").select(*[merged.alias(n) if n == body else F.col(n) for n in names.values()], F.size(matches).cast("long").alias(count))
-    both = plain.where(~has).withColumn(count, F.lit(0).cast("long")).unionByName(changed)
+    changed = hits.join(maps, "rid").select(*[merged.alias(n) if n == body else F.col(n) for n in names.values()], F.size("matches").cast("long").alias("found"))
+    both = all_.where("matches is null").select(*names.values(), F.lit(0).cast("long").alias("found")).unionByName(changed)
     out = [F.col(n).alias(c) for c, n in names.items() if c != n_entities]
-    return both.select(*out, *([F.col(count).alias(n_entities)] if n_entities else []))
+    return both.select(*out, *([F.col("found").alias(n_entities)] if n_entities else []))
 
 
 def op10_query(spark, sf_dir):
+    """Whole texts with surrogates, and how many replacements; see ``replace_pii``."""
     return replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))

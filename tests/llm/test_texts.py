@@ -374,11 +374,43 @@ def test_pii(spark):
 def test_pii_surrogates_are_distinct(spark):
     from statloom.llm.common import Scratch
 
-    norms = [(f"givenm{s}", f"name{k}") for s in "LC" for k in range(60)] + [("ip", f"10.0.0.{k}") for k in range(200)]
+    norms = [(f"given{g}", f"name{k}") for g in pii.GIVEN for k in range(1500)] + [("ip", f"10.0.0.{k}") for k in range(200)]
+    norms += [("familyL", f"surname{k}") for k in range(100_000)] + [("familymC", f"фамилия{k}") for k in range(2000)]
+    norms += [("phone", f"310555{k:04}") for k in range(10_000)] + [("email", f"{a}@{b}.eu") for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    # Real values that are fakes of others: they must not be given to anyone.
+    norms += [("givenmL", n.lower()) for n in pii.GIVEN["mL"]]
     df = spark.createDataFrame(norms, "type string, norm string")
     got = pii.surrogates(df, "k", Scratch(spark, "test")).collect()
-    assert len(got) == len(norms)
+    assert {(r.type, r.norm) for r in got} == set(norms) and len(got) == len(norms)
     assert len({(r.type, r.fake) for r in got}) == len(norms)
+    assert not {(r.type, r.fake.lower()) for r in got} & set(norms)
+    shapes = {"ip": r"\d+(\.\d+){3}", "phone": r"\d{10}", "email": r"[a-z]+@[a-z]+\.eu"}
+    for r in got:
+        shape = shapes.get(r.type, "[А-Я][а-я]+" if r.type.endswith("C") else "[A-Z][a-z]+")
+        assert re.fullmatch(shape, r.fake), r
+
+
+def test_pii_against_plain_python(spark):
+    """Places, counts and coreference, with matches found by Python's own engine."""
+    import regex
+
+    pattern = regex.compile(pii.PATTERN)
+    rows = [(d, t) for d, t in PII for _ in range(2)] + [(8, "x" * 30_000 + " bob@x.org " + "y " * 20_000)]
+    got = pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), key="k").collect()
+    assert sorted(r.doc_id for r in got) == sorted(d for d, _ in rows)
+    texts_, fake_of = dict(rows), {}
+    for r in got:
+        if r.text is None:
+            assert texts_[r.doc_id] is None and r.n_entities == 0
+            continue
+        found = [m[0] for m in pattern.finditer(texts_[r.doc_id])]
+        assert r.n_entities == len(found)
+        # Surrogates are of their kind, so they are found again; what is between stays.
+        made = [m[0] for m in pattern.finditer(r.text)]
+        assert pattern.sub("\0", r.text) == pattern.sub("\0", texts_[r.doc_id])
+        for old, new in zip(found, made, strict=True):
+            assert old != new and fake_of.setdefault(old, new) == new
+    assert len(set(fake_of.values())) == len(fake_of)
 
 
 def test_pii_empty(spark):
