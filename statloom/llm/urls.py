@@ -5,6 +5,7 @@ DataFrame functions only."""
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,24 +21,55 @@ RULES = (
     ("com/de/", "block"),
 )
 
-#: The labelled URL table: names of hosts that are wanted and unwanted, and path forms.
-WANTED = (
-    "news", "library", "museum", "university", "science", "history", "garden", "weather",
-    "recipes", "travel", "music", "school", "health", "city", "journal", "forum", "docs",
-    "blog", "wiki", "books", "nature", "kitchen", "sports", "photos", "archive", "research",
-    "another", "weather-station", "brother", "thought", "nation", "station", "together",
-    "therapy-notes", "theory", "the-throne", "threads", "thesis", "anthem", "option-guide",
-)
-UNWANTED = (
-    "casino", "casino-win", "free-casino", "online-casino", "win-money", "big-win", "bets",
-    "free-bets", "sport-bets", "betting", "cheap-pills", "pills-online", "diet-pills",
-    "cheap-meds", "spam", "spam-farm", "link-farm", "content-farm", "adult", "adult-x",
-    "x-adult", "xxx-videos", "adult-cams", "ads", "ads-track", "track-ads", "ad-tracker",
-    "click-track", "popup-ads", "free-prizes", "cheap-loans", "free-spins", "porn-x",
-    "poker-win", "slots-free", "jackpot-bets", "cheap-viagra", "farm-links", "track-pixel",
-)
-PATHS = ("/", "/en/12", "/de/345.html", "/fr/7/", "/es/89", "/index.html", "/about/")
-TOPS = ("example.net", "example.com", "example.org")
+#: The labelled URL table: well-known public sites by what they offer, as published
+#: directories and block lists class them, and path forms.
+WANTED = """
+wikipedia.org wiktionary.org britannica.com archive.org gutenberg.org python.org github.com
+gitlab.com stackoverflow.com kernel.org debian.org mozilla.org apache.org arxiv.org nature.com
+sciencemag.org plos.org nih.gov nasa.gov noaa.gov loc.gov europa.eu who.int un.org unesco.org
+bbc.co.uk theguardian.com reuters.com apnews.com nytimes.com lemonde.fr spiegel.de elpais.com
+zeit.de corriere.it harvard.edu mit.edu stanford.edu berkeley.edu ox.ac.uk cam.ac.uk ethz.ch
+coursera.org khanacademy.org openstreetmap.org weather.com accuweather.com allrecipes.com
+epicurious.com seriouseats.com lonelyplanet.com tripadvisor.com nationalgeographic.com
+smithsonianmag.com metmuseum.org britishmuseum.org moma.org louvre.fr imdb.com goodreads.com
+librarything.com worldcat.org jstor.org mayoclinic.org webmd.com healthline.com gardenersworld.com
+rhs.org.uk instructables.com ifixit.com wikihow.com medium.com wordpress.com blogspot.com
+tumblr.com reddit.com quora.com flickr.com vimeo.com bandcamp.com soundcloud.com musicbrainz.org
+espn.com fifa.com olympics.com chess.com boardgamegeek.com ikea.com etsy.com
+""".split()
+UNWANTED = """
+doubleclick.net googlesyndication.com googleadservices.com adnxs.com adsrvr.org adform.net
+adroll.com advertising.com adcolony.com admob.com adsterra.com propellerads.com popads.net
+popcash.net exoclick.com juicyads.com trafficjunky.net clickadu.com taboola.com outbrain.com
+criteo.com scorecardresearch.com quantserve.com hotjar.com mixpanel.com trackingsoft.com
+statcounter.com clicktale.net adtracker.net bet365.com betfair.com betway.com betvictor.com
+sportsbet.com.au unibet.com ladbrokes.com paddypower.com williamhill.com bwin.com 1xbet.com
+pokerstars.com partypoker.com fulltiltpoker.com 888casino.com 888poker.com casino.com casino.org
+leovegas.com casumo.com mrgreen.com jackpotcity.com slotomania.com pornhub.com xvideos.com xnxx.com
+xhamster.com youporn.com redtube.com tube8.com brazzers.com chaturbate.com livejasmin.com
+stripchat.com onlyfans.com adultfriendfinder.com adulttime.com ashleymadison.com literotica.com
+canadianpharmacy.com onlinepharmacy.com viagra.com cialis.com edmeds.com buymeds.com pillstore.com
+drugstore24.com paydayloans.com quickcash.com cashadvance.com fastloans.com moneytree.com
+thepiratebay.org 1337x.to rarbg.to kickasstorrents.to warez-bb.org crackz.ws keygenguru.com
+spamhaus-blocked.com mailspammer.com linkspam.com freelotto.com sweepstakes.com prizegrab.com
+clickbank.com replicawatches.com getrichquick.com
+""".split()
+#: More wanted names: the commonest English nouns, as sites of clubs, shops and places have.
+COMMON = """
+time year people way day man thing woman life child world school state family student group
+country problem hand part place case week company system program question work government
+number night point home water room mother area money story fact month lot right study book eye
+job word business issue side kind head house service friend father power hour game line end
+member law car city community name president team minute idea body information back parent face
+others level office door health person art war history party result change morning reason
+research girl guy moment air teacher force education foot boy age policy music market sense
+nation plan college interest death experience effect use class control field development role
+effort rate heart light voice police mind street image season nature station garden river
+mountain kitchen window summer winter library museum hospital church village island bridge
+weather theatre brother sister daughter doctor engineer farmer painter writer
+""".split()
+#: Path forms of any site.
+PATHS = ("/", "/index.html", "/about", "/2019/07/article-12", "/category/item?id=4", "/en/page/3")
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -80,15 +112,15 @@ def grams(host: Column, path: Column, size: int, dims: int) -> Column:
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """(url, block): a row for each labelled host; domains and paths take turns."""
+    """(url, block, site): two rows for each labelled site, with paths by turns."""
     rows = []
-    for hosts, block in ((WANTED, 0), (UNWANTED, 1)):
-        for k, h in enumerate(hosts):
-            for j in range(3):
-                sub = ("", "www.", "m.")[(k + j) % 3]
-                rows.append((f"https://{sub}{h}.{TOPS[(k + j) % 3]}{PATHS[(k + 2 * j) % len(PATHS)]}", block))
-    values = ", ".join(f"('{u}', {b})" for u, b in rows)
-    return spark.sql(f"select * from values {values} as t(url, block)")
+    named = [f"{word}.{('com', 'org', 'net')[k % 3]}" for k, word in enumerate(COMMON)]
+    for sites, block in ((WANTED + named, 0), (UNWANTED, 1)):
+        for k, site in enumerate(sites):
+            for j in range(2):
+                rows.append((f"https://{('', 'www.')[j]}{site}{PATHS[(k + 3 * j) % len(PATHS)]}", block, site))
+    values = ", ".join(f"('{u}', {b}, '{s}')" for u, b, s in rows)
+    return spark.sql(f"select * from values {values} as t(url, block, site)")
 
 
 def _score(idx: Column, weights: list[float], bias: float) -> Column:
@@ -96,32 +128,34 @@ def _score(idx: Column, weights: list[float], bias: float) -> Column:
     return F.lit(bias) + F.aggregate(idx, F.lit(0.0), lambda a, i: a + F.get(w, i)) / F.sqrt(F.size(idx))
 
 
-def train(labelled: DataFrame, size: int = 3, dims: int = 4096, rounds: int = 40, rate: float = 8.0, decay: float = 1e-4, most: int = 4000) -> tuple[list[float], float]:
+def train(labelled: DataFrame, size: int = 3, dims: int = 4096, rounds: int = 150, rate: float = 8.0, decay: float = 1e-4, most: int = 4000, least: int = 3) -> tuple[list[float], float]:
     """Weights and bias of the logistic regression, by full-batch gradient steps.
 
-    ``labelled`` has url and block (0, 1). Of more than ``most`` rows those of the
-    smallest hash are taken: that is the bound of the training sample. To the driver
-    comes one gradient of at most ``dims`` sums a step. No rows: zero weights and a bias
-    that allows."""
+    ``labelled`` has url and block (0, 1; other values and nulls are left out; rows that
+    repeat count as often). Of more than ``most`` rows those of the smallest hash are
+    taken: that is the bound of the training sample, whose n-grams one job brings to the
+    driver. N-grams of fewer than ``least`` rows tell of one site only and get no weight.
+    No rows: zero weights and a bias that allows."""
     host, path = url_parts(F.col("url"))
-    rows = labelled.where("block is not null").select("url", F.col("block").cast("double").alias("y"))
+    rows = labelled.where("block in (0, 1)").select("url", F.col("block").cast("double").alias("y"))
     rows = rows.orderBy(F.xxhash64("url"), "url", "y").limit(most)
-    feats = rows.select(grams(host, path, size, dims).alias("idx"), "y").persist()
-    n = feats.count()
+    got = [(r.idx, len(r.idx) ** -0.5, r.y) for r in rows.select(grams(host, path, size, dims).alias("idx"), "y").collect()]
     w, bias, vel, vel_bias = [0.0] * dims, -1.0, [0.0] * dims, 0.0
-    if not n:
-        return w, bias
-    for _ in range(rounds):
-        err = feats.select("idx", (1 / (1 + F.exp(-_score(F.col("idx"), w, bias))) - F.col("y")).alias("e"))
-        each = err.select(F.explode(F.concat(F.array(F.lit(-1)), "idx")).alias("i"), F.col("e"), F.sqrt(F.size("idx")).alias("d"))
-        got = each.groupBy("i").agg(F.sum(F.when(F.col("i") < 0, F.col("e")).otherwise(F.col("e") / F.col("d"))).alias("g")).collect()
-        grad = {r["i"]: r["g"] / n for r in got}
-        for i in range(dims):
-            vel[i] = 0.9 * vel[i] - rate * (grad.get(i, 0.0) + decay * w[i])
+    often = Counter(i for idx, _, _ in got for i in idx)
+    got = [([i for i in idx if often[i] >= least], scale, y) for idx, scale, y in got]
+    used = sorted({i for idx, _, _ in got for i in idx})
+    for _ in range(rounds if got else 0):
+        grad, grad_bias = dict.fromkeys(used, 0.0), 0.0
+        for idx, scale, y in got:
+            err = 1 / (1 + math.exp(-max(-50.0, min(50.0, bias + scale * sum(w[i] for i in idx))))) - y
+            grad_bias += err
+            for i in idx:
+                grad[i] += err * scale
+        for i in used:
+            vel[i] = 0.9 * vel[i] - rate * (grad[i] / len(got) + decay * w[i])
             w[i] += vel[i]
-        vel_bias = 0.9 * vel_bias - 0.1 * rate * grad.get(-1, 0.0)
+        vel_bias = 0.9 * vel_bias - 0.1 * rate * grad_bias / len(got)
         bias += vel_bias
-    feats.unpersist()
     return w, bias
 
 
@@ -130,8 +164,8 @@ def judge_urls(pages: DataFrame, labelled: DataFrame, rules=RULES, url: str = "u
     block_score, the model's log-odds. Where no rule fits, a probability of at least
     ``threshold`` blocks: above a half, as a wanted page lost costs more.
 
-    Null and odd urls have empty host and path and are judged like others. Columns of
-    those names are replaced."""
+    Null and odd urls have empty host and path and are judged like others; rows may
+    repeat, urls be of any length. Columns of those names are replaced. No rows, no result."""
     w, bias = train(labelled, size, dims, **options)
     new = ("host", "path", "rule", "verdict", "block_score")
     h, p = url_parts(F.col(url))
@@ -143,5 +177,6 @@ def judge_urls(pages: DataFrame, labelled: DataFrame, rules=RULES, url: str = "u
 
 
 def op9_query(spark, sf_dir):
+    """Every page's host, path, rule and verdict; see ``judge_urls``."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return judge_urls(pages, labelled_urls(spark)).select("page_id", "host", "path", "rule", "verdict")

@@ -168,8 +168,8 @@ URLS = [
     (6, None, "", "", None, None),
     (7, "no scheme.org/", "", "", None, None),
     (8, "http://x.org", "x.org", "", None, None),
-    (9, "https://m.casino-win.example.net/en/5", "m.casino-win.example.net", "/en/5", None, "block"),
-    (10, "https://library.example.net/en/5", "library.example.net", "/en/5", None, "allow"),
+    (9, "https://m.poker-casino888.net/en/5", "m.poker-casino888.net", "/en/5", None, "block"),
+    (10, "https://city-library.net/en/5", "city-library.net", "/en/5", None, "allow"),
     (11, "", "", "", None, None),
 ]
 
@@ -183,13 +183,47 @@ def test_url_rules_and_model(spark):
         assert got[k].size == "mine"
 
 
-def test_url_model_on_held_out_rows(spark):
+def plain_rule(url):
+    """(host, path, rule, verdict) by trying every rule."""
+    host = path = ""
+    if url and "://" in url:
+        rest = url.split("://", 1)[1]
+        cut = min([rest.index(c) for c in "/?#" if c in rest] + [len(rest)])
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:cut])
+        path = rest[cut:].split("?")[0].split("#")[0]
+    best = (None, None)
+    for rule, verdict in urls.RULES:
+        h, p = rule.split("/", 1)
+        if (host == h or host.endswith("." + h)) and path.startswith("/" + p) and len(rule) > len(best[0] or ""):
+            best = rule, verdict
+    return host, path, *best
+
+
+def test_url_rules_against_brute_force(spark):
+    rnd = random.Random(6)
+    hosts = ["example.org", "a.example.org", "xexample.org", "org", "b.com", "com", "EN.Example.ORG", "example.net", "é.com", "org.net"]
+    paths = ["", "/", "/es/", "/en/1", "/en/12", "/fr/", "/de/x", "/DE/", "/es", "?q=/es/", "#/de/", "/fr/?a#b", "/x" * 3000]
+    rows = [(k, rnd.choice(["https", "http", "", "x://y"]) + rnd.choice(["://", "://", ":/"]) + rnd.choice(hosts) + rnd.choice(paths)) for k in range(300)]
+    rows += [(1, None), (1, None), (1000, ""), (1001, "://"), (1002, "://?"), (1003, "a\nb://org/\nx")]
+    table = spark.createDataFrame(rows, "page_id long, url string")
+    got = urls.judge_urls(table, urls.labelled_urls(spark)).collect()
+    want = [(k, *plain_rule(u)[:3]) for k, u in rows]
+    assert sorted(((r.page_id, r.host, r.path, r.rule) for r in got), key=repr) == sorted(want, key=repr)
+    ruled = {rule: verdict for rule, verdict in urls.RULES}
+    assert all(r.verdict == ruled[r.rule] for r in got if r.rule) and {r.verdict for r in got} <= {"allow", "block"}
+    assert urls.judge_urls(table.limit(0), urls.labelled_urls(spark)).count() == 0
+
+
+def test_url_model_on_held_out_sites(spark):
+    """Of sites that it has not seen the model blocks far more of the unwanted ones."""
     from pyspark.sql import functions as F
 
-    lab = urls.labelled_urls(spark).withColumn("h", F.pmod(F.xxhash64("url"), F.lit(5)))
-    got = urls.judge_urls(lab.where("h = 0"), lab.where("h <> 0"), rules=())
-    right = got.where("(verdict = 'block') = (block = 1)").count()
-    assert right >= 0.85 * got.count()
+    lab = urls.labelled_urls(spark).withColumn("h", F.pmod(F.xxhash64("site"), F.lit(5)))
+    blocked = {0: [], 1: []}
+    for h in range(5):
+        for r in urls.judge_urls(lab.where(F.col("h") == h), lab.where(F.col("h") != h), rules=()).collect():
+            blocked[r.block].append(r.verdict == "block")
+    assert np.mean(blocked[1]) > 0.35 and np.mean(blocked[0]) < 0.08
 
 
 def test_url_without_labels_allows(spark):
