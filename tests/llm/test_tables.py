@@ -87,6 +87,37 @@ def test_embedding_blocks_count_the_same(spark, vectors):
     assert counts == first
 
 
+def test_embedding_recall_at_the_querys_settings(spark):
+    """20,000 vectors with 600 planted pairs of cosine 0.90 to 0.92, recall as in the query."""
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((20_000, 32))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    for k in range(600):
+        other = rng.standard_normal(32)
+        other -= (other @ base[k]) * base[k]
+        c = rng.uniform(0.9005, 0.92)
+        base[10_000 + k] = c * base[k] + np.sqrt(1 - c * c) * other / np.linalg.norm(other)
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(base.astype(np.float32))], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r for r in embed_dedup.embedding_components(table, threshold=0.9).collect()}
+    near = np.float64(base.astype(np.float32))
+    near /= np.linalg.norm(near, axis=1, keepdims=True)
+    links = 0
+    for at in range(0, len(near), 2000):
+        links += int((near[at : at + 2000] @ near.T >= 0.9).sum()) - 2000
+    found = sum(r.n_links for r in got.values())
+    assert links >= 1200 and 0.95 * links <= found <= links
+    assert sum(got[10_000 + k].component_id == k for k in range(600)) >= 570
+
+
+def test_embedding_null_and_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.0]), (None, None), (2, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [2.0]), (4, [None, 1.0]), (5, [1.0])]
+    table = spark.createDataFrame([(*r, "x", 7) for r in rows], "vec_id long, embedding array<double>, h1 string, n int")
+    got = [(r.vec_id, r.n_links, r.component_id) for r in embed_dedup.embedding_components(table).collect()]
+    assert len(got) == len(rows) and got.count((None, 0, None)) == 2
+    of = lambda i: {(n, c) for v, n, c in got if v == i}
+    assert of(1) == {(2, 1)} and {c for _, c in of(2)} == {1} and of(4) == {(0, 4)} and of(3) == {(1, 3)} == {(n, 3) for n, _ in of(5)}
+
+
 def test_embedding_empty(spark, vectors):
     assert embed_dedup.embedding_components(vectors[1].limit(0)).count() == 0
 
