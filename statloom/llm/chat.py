@@ -74,7 +74,6 @@ def pair_by_opening(convs: DataFrame) -> DataFrame:
 
     Only ids and hashes are matched; the turns join them where they lie and are shuffled
     once, to their pair. Turns without a conv_id are one conversation, which pairs with none."""
-    # One filter for both uses, so that Spark sees one plan.
     named = convs.where("conv_id is not null")
     row = F.struct("conv_id", "turns")
     own = [F.coalesce("depth", F.lit(-1)).alias("depth"), F.coalesce("k1", F.xxhash64("conv_id")).alias("k1"), F.coalesce("k2", F.xxhash64(F.lit(1), F.col("conv_id"))).alias("k2"), F.coalesce("pair", F.lit(0)).alias("pair")]
@@ -161,7 +160,9 @@ def format_preferences(pairs: DataFrame) -> DataFrame:
 def op2_query(spark, sf_dir):
     """One row per pair, or per conversation without a counterpart: sizes and digests
     of prompt and completions, and the characters that carry loss."""
-    pairs = pair_by_opening(gather_turns(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
+    turns = gather_turns(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    # Written, as matching and pairing both read them: turns are gathered once.
+    pairs = pair_by_opening(Scratch(spark, "conversations").put(turns))
     out = format_preferences(own_rejected(pairs))
     sha = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
     loss = lambda m: F.aggregate(m, F.lit(0).cast("long"), lambda a, s: a + s["length"])

@@ -101,6 +101,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_l
 
 
 def op1_query(spark, sf_dir):
+    """Counts and a digest of the lines that stay of every document; see ``dedup_lines``."""
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), mode="frequent", min_docs=10, min_chars=1)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 

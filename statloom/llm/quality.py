@@ -189,18 +189,18 @@ def judge(counts: DataFrame, lang: str = "lang", source: str = "source", basis:
 def quality_filter(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", **options) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their columns.
 
-    Counts are taken twice, once for the thresholds and once beside the text as it
-    streams by, so no text is shuffled and rows need no key. Null and empty texts have
-    no words and fail the base rules. An empty table stays empty."""
+    Counts are written once, beside the rows, so no text is shuffled and rows need no key;
+    they may repeat. Null and empty texts have no words and fail the base rules; a value
+    equal to its limit stays. An empty table stays empty."""
     scratch = Scratch(docs.sparkSession, "quality")
     names = {c: fresh_name([*docs.columns, *COUNTS], f"as_{k}") for k, c in enumerate(docs.columns)}
     plain = docs.select(*[F.col(c).alias(n) for c, n in names.items()])
-    basis = scratch.put(with_counts(plain, names[text], [names[lang], names[source]]))
-    judged = judge(with_counts(plain, names[text]), names[lang], names[source], basis, **options)
+    judged = judge(scratch.put(with_counts(plain, names[text])), names[lang], names[source], **options)
     return judged.where("kept").select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def op7_query(spark, sf_dir):
+    """Counts and verdicts of every document; see ``with_counts`` and ``judge``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     counts = Scratch(spark, "quality").put(with_counts(docs, "text", ["doc_id", "lang", "source"]))
     return judge(counts).select("doc_id", *COUNTS, "base_failed", "kept")

@@ -227,6 +227,7 @@ def hex_fingerprint(fp: Column) -> Column:
 
 
 def op3_query(spark, sf_dir):
+    """Fingerprint and component of every document; see ``simhash_components``."""
     from statloom.llm.common import table
 
     out = simhash_components(table(spark, sf_dir, "documents"))

@@ -8,10 +8,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from statloom.llm.common import fresh_name, table
+from statloom.llm.common import Scratch, fresh_name, table
 
 _WORD = regex.compile(r"\p{L}+")
 
@@ -77,34 +77,42 @@ class OrdinalModel:
 
 
 def sample(docs: DataFrame, labels: DataFrame, grade: str, most: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(text, grade) of at most ``most`` labelled documents: those whose id has the
-    smallest hash, half of them of grade 0 where there are enough others."""
-    known = labels.where(F.col(grade).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), F.col(grade).cast("int").alias("grade")).dropDuplicates(["id"])
+    """(id, text, grade) of at most ``most`` labelled documents: those whose id has the
+    smallest hash, half of them of grade 0 where there are enough others. Of several labels
+    of a document the highest grade counts; of rows that repeat an id, the least text."""
+    known = labels.where(F.col(grade).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(F.col(grade).cast("int")).alias("grade"))
     order = [F.xxhash64("id"), F.col("id")]
     # Two orderBy-limits: top-k with a heap per task, never a full sort.
     bad = known.where("grade > 0").orderBy(*order).limit(most // 2)
     good = known.where("grade = 0").orderBy(*order).limit(most // 2)
     ids = bad.unionByName(good)
     rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.join(F.broadcast(ids), "id").select("id", "text", "grade")  # most rows at most
+    found = rows.join(F.broadcast(ids), "id")  # most rows at most
+    return found.groupBy("id", "grade").agg(F.min("text").alias("text")).select("id", "text", "grade")
 
 
-def train(docs: DataFrame, labels: DataFrame, grade: str = "grade", grades: int = 3, dims: int = 1 << 16, most: int = 6000, **options) -> OrdinalModel:
-    """The model from a bounded sample: features are made on the executors, and ``most``
-    sparse rows at most come to the driver. Labels of grade 0 to ``grades`` - 1."""
-    given = sample(docs, labels, grade, most).select("id", "text", "grade")
+def train(docs: DataFrame, labels: DataFrame, grade: str = "grade", grades: int = 3, dims: int = 1 << 16, most: int = 6000, most_features: int = 2_000_000, **options) -> OrdinalModel:
+    """The model from a bounded sample of labels of grade 0 to ``grades`` - 1: at most
+    ``most`` documents, and of these, in order of their ids' hashes, as many as have
+    ``most_features`` features (a document's distinct words) together. Features are made on
+    the executors; eight bytes each come to the driver."""
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    given = sample(docs, labels, grade, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             both = [features(t.as_py(), dims) for t in b.column(1)]
-            cols = [b.column(0), b.column(2), pa.array([a for a, _ in both], pa.list_(pa.int64())), pa.array([v for _, v in both], pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "grade", "at", "val"])
+            cols = [b.column(0), b.column(2), pa.array([len(a) for a, _ in both], pa.int64()), pa.array([a for a, _ in both], pa.list_(pa.int32())), pa.array([v for _, v in both], pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "grade", "size", "at", "val"])
 
     kind = given.schema["id"].dataType.simpleString()
-    rows = given.mapInArrow(run, f"id {kind}, grade int, at array<long>, val array<double>")
-    got = rows.toArrow().sort_by("id")
-    chunks = [(np.asarray(a.values), np.asarray(v.values)) for a, v in zip(got["at"], got["val"])]
+    rows = scratch.put(given.mapInArrow(run, f"id {kind}, grade int, size long, at array<int>, val array<float>"))
+    # At most ``most`` rows: one window over them is a small one.
+    upto = F.sum("size").over(Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0))
+    got = rows.withColumn("upto", upto).where(F.col("upto") <= most_features).toArrow().sort_by("id")
+    chunks = [(np.asarray(a.values).astype(np.int64), np.asarray(v.values).astype(np.float64)) for a, v in zip(got["at"], got["val"])]
     grade_of = np.clip(got["grade"].to_numpy().astype(np.int64), 0, grades - 1)
+    scratch.drop(rows)
     return OrdinalModel.fit(chunks, grade_of, dims, grades, **options)
 
 
@@ -137,6 +145,7 @@ def severity_labels(labels: DataFrame) -> DataFrame:
 
 
 def op5_query(spark, sf_dir):
+    """Expected severity, chance and verdict of each document; see ``score_toxicity``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, severity_labels(table(spark, sf_dir, "labels")))
     out = score_toxicity(docs, model, keep=["doc_id"])

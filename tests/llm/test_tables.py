@@ -284,6 +284,73 @@ def test_toxicity_held_out(spark):
     assert mean(0) < mean(1) < mean(2)
 
 
+def test_toxicity_against_plain_python(spark):
+    """Scores from the model's weights, word by word; repeated documents and labels."""
+    import math
+
+    import xxhash
+
+    rnd = random.Random(3)
+    docs = [(k, " ".join(rnd.choice(["good", "fine", "vile", "rude", "day", "Ünder"]) for _ in range(30))) for k in range(80)]
+    docs += [docs[0], (90, "vile " * 5000), (91, None), (92, "")]
+    labels = [(k, 2 if t.count("vile") > 7 else 1 if t.count("rude") > 6 else 0) for k, t in docs[:80]]
+    labels += [(0, 0), (1, None), (None, 2)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    lab = spark.createDataFrame(labels, "doc_id long, grade int")
+    model, again = (toxicity.train(d, x, dims=256) for d, x in ((table, lab), (table.repartition(3), lab.repartition(2))))
+    assert np.array_equal(model.weights, again.weights) and np.array_equal(model.cuts, again.cuts)
+    got = toxicity.score_toxicity(table, model).collect()
+    assert sorted(r.doc_id for r in got) == sorted(k for k, _ in docs)
+    for r in got:
+        words = (r.text or "").lower().split()
+        score = sum(float(model.weights[xxhash.xxh32_intdigest(w) % 256]) * (1 + math.log(words.count(w))) for w in set(words))
+        above = [1 / (1 + math.exp(c - score)) for c in model.cuts]
+        assert abs(r.severity - sum(above)) < 1e-4 and abs(r.p_toxic - above[0]) < 1e-4 and r.toxic == (r.p_toxic >= 0.5)
+    small = toxicity.sample(table, lab, "grade", 20).collect()
+    assert len(small) <= 20 and {r.id: r.grade for r in toxicity.sample(table, lab, "grade", 500).collect()}[0] == max(g for k, g in labels if k == 0)
+
+
+def plain_preferences(convs):
+    """(chosen, rejected) for conversations: the deepest common prefix first."""
+    left, pairs = dict(convs), []
+    for depth in range(max(map(len, convs.values()), default=0), 0, -1):
+        groups = {}
+        for k, t in left.items():
+            if len(t) >= depth:
+                groups.setdefault(tuple(t[:depth]), []).append(k)
+        for ks in groups.values():
+            for n in range(0, len(ks) - 1, 2):
+                pairs.append((depth, frozenset(ks[n : n + 2])))
+        used = {k for _, p in pairs for k in p}
+        left = {k: t for k, t in left.items() if k not in used}
+    return pairs, set(left)
+
+
+def test_preferences_against_plain_python(spark):
+    rnd = random.Random(12)
+    convs = {k: [(r, rnd.choice("xy") if n < 3 else f"{k} {n}") for n, r in enumerate(["user", "assistant"] * rnd.randint(1, 4))] for k in range(60)}
+    convs[70] = [("user", "z" * 40_000), ("assistant", "q" * 40_000)]
+    rows = [(k, n, r, t, "extra") for k, ts in convs.items() for n, (r, t) in enumerate(ts)]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, chosen string")
+    pairs = chat.pair_by_opening(chat.gather_turns(df))
+    got = {r.chosen_id: r for r in chat.format_preferences(pairs).collect()}
+    want, alone = plain_preferences(convs)
+    common = lambda a, b: next((n for n, (x, y) in enumerate(zip(convs[a], convs[b])) if x != y), min(len(convs[a]), len(convs[b])))
+    real = [(r.chosen_id, r.rejected_id) for r in got.values() if r.rejected_id is not None]
+    assert sorted(common(*p) for p in real) == sorted(common(*p) for _, p in want)
+    assert {r.chosen_id for r in got.values() if r.rejected_id is None} == set(got) - {p[0] for p in real} and len(alone) == len(got) - len(real)
+    text = lambda ts: "".join(f"<|{r}|>\n{t}<|end|>\n" for r, t in ts)
+    for a, b in real:
+        n = common(a, b)
+        if n >= min(len(convs[a]), len(convs[b])):  # one is the other's prefix: before its last assistant turn
+            n = max(k for k in range(n) if convs[a][k][0] == "assistant")
+        r = got[a]
+        assert (r.n_prompt_turns, r.prompt, r.chosen_text, r.rejected_text) == (n, text(convs[a][:n]), text(convs[a][n:]), text(convs[b][n:]))
+        for ts, out, mask in ((convs[a][n:], r.chosen_text, r.chosen_mask), (convs[b][n:], r.rejected_text, r.rejected_mask)):
+            assert [out[m.start : m.start + m.length] for m in mask] == [t + "<|end|>\n" for role, t in ts if role == "assistant"]
+
+
 def test_toxicity_odd_inputs(spark):
     docs = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (3, "x " * 20000, "c")], "doc_id long, text string, severity string")
     model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, grade int"), dims=64)
