@@ -8,6 +8,7 @@ whose size is the vocabulary's."""
 from __future__ import annotations
 
 import heapq
+import itertools
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -169,7 +170,7 @@ class Bpe:
             place = np.cumsum(keep) - 1
             sym, word, rank, made = sym[keep], word[keep], rank[keep], made[keep]
             here = place[hits]
-            again = np.unique(np.concatenate((here, np.maximum(here - 1, 0))))
+            again = np.concatenate((here, np.maximum(here - 1, 0)))
             rank[again], made[again] = ranks(again)
         for k, ids in zip(short, final):
             out[k] = ids
@@ -234,10 +235,13 @@ class Bpe:
     def _encode_chunks(self, chunks: list[str]) -> list[list[int]]:
         """Chunks hold no white space, which composes with nothing: they are normalised and
         lower-cased (by character: no final sigma) one by one."""
-        found = [self.word.findall(c.lower() if c.isascii() else nfc(c).translate(_LOWER).lower()) for c in chunks]
-        distinct = list(dict.fromkeys(w for ws in found for w in ws))
+        found = []
+        for c in chunks:
+            c = c.lower() if c.isascii() else nfc(c).translate(_LOWER).lower()
+            found.append([c] if c.isascii() and c.isalpha() else self.word.findall(c))
+        distinct = list(dict.fromkeys(itertools.chain.from_iterable(found)))
         ids = dict(zip(distinct, self.words([w.encode() for w in distinct])))
-        return [[i for w in ws for i in ids[w]] for ws in found]
+        return [ids[ws[0]] if len(ws) == 1 else [i for w in ws for i in ids[w]] for ws in found]
 
     def _gather(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, offsets) of texts without special tokens. The empty chunks at a

@@ -3,7 +3,8 @@ texts become ids by Arrow dictionaries and numpy gathers instead of a loop over
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import itertools
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ class ChunkIds:
     chunks. What is kept is cleared where its characters and ids pass ``most``; a call's own
     chunks are always there, however many."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 6_000_000):
+    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], most: int = 6_000_000):
         self.encode, self.most = encode, most
         self._clear()
 
@@ -32,7 +33,7 @@ class ChunkIds:
             grown = np.zeros(max(need, 2 * len(self.flat)), dtype=np.int32)
             grown[: self.size] = self.flat[: self.size]
             self.flat = grown
-        self.flat[self.size : need] = np.fromiter((i for ids in found for i in ids), np.int32, need - self.size)
+        self.flat[self.size : need] = np.fromiter(itertools.chain.from_iterable(found), np.int32, need - self.size)
         self.slot.update(zip(fresh, range(len(self.slot), len(self.slot) + len(fresh))))
         self.ends = np.concatenate((self.ends, self.size + np.cumsum(sizes)))
         self.size = need
@@ -49,7 +50,7 @@ class ChunkIds:
         fresh = [w for w in words if w not in self.slot]
         if fresh:
             self._learn(fresh)
-        slots = np.fromiter((self.slot[w] for w in words), np.int64, len(words))
+        slots = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
         at = slots[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
         starts, sizes = self.ends[at], self.ends[at + 1] - self.ends[at]
         ends = np.cumsum(sizes)

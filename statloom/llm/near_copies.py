@@ -20,6 +20,8 @@ from statloom.llm.simhash import grid_links, hash_bits, keep_first, shingle_hash
 
 #: A pair of similarity 0.8 shares a band with a chance of 1 - (1 - 0.8^5)^30 = 0.999993.
 BANDS, ROWS = 30, 5
+#: Sizes of at most so many large groups, some 20 bytes each, are broadcast.
+LARGE_GROUPS = 100_000
 _RNG = np.random.default_rng(20)
 _TIMES = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2)
@@ -170,7 +172,9 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     asked = nodes.join(maybe, "node").select(F.col("first_id").alias("doc_id")).distinct()
     texts = own.alias("o").join(asked.alias("q"), F.col("o.doc_id").eqNullSafe(F.col("q.doc_id")), "left_semi").select("text")
     sets = _with_node(texts, "text", width, "node", "shingles").drop("text").dropDuplicates(["node"])
-    sizes = maybe.groupBy("component").count().where(F.col("count") > block)
+    sizes = scratch.put(maybe.groupBy("component").count().where(F.col("count") > block))
+    # Rows of a large group need not meet to learn its size.
+    sizes = F.broadcast(sizes) if sizes.count() <= LARGE_GROUPS else sizes
     dealt = maybe.join(sizes, "component", "left").withColumn("k", F.ceil(F.coalesce("count", F.lit(1)) / block).cast("int"))
     side = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda o: F.struct(F.least(side, o).alias("i"), F.greatest(side, o).alias("j")))

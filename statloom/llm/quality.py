@@ -76,14 +76,16 @@ def count_text(text: bytes | None) -> tuple[int, int, int, int, int]:
 def with_counts(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds the counts of ``COUNTS``; columns of those names are replaced."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in COUNTS]
-    raw = fresh_name(keep, "raw")
-    given = docs.select(*keep, F.col(text).cast("binary").alias(raw))
+    # A text that stays is sent to the workers once.
+    raw = text if text in keep else fresh_name(keep, "raw")
+    given = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text).alias(raw))
     schema = docs.select(*keep, *[F.lit(0).cast("long").alias(c) for c in COUNTS]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = np.array([count_text(x.as_py()) for x in b.column(b.num_columns - 1)], dtype=np.int64).reshape(-1, len(COUNTS))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *map(pa.array, rows.T.copy())], names=[*keep, *COUNTS])
+            texts = b.column(b.schema.get_field_index(raw)).cast(pa.binary())
+            rows = np.array([count_text(x.as_py()) for x in texts], dtype=np.int64).reshape(-1, len(COUNTS))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *map(pa.array, rows.T.copy())], names=[*keep, *COUNTS])
 
     return given.mapInArrow(run, schema)
 
