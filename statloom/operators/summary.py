@@ -34,6 +34,42 @@ def percentile(x: str, p: str, definition: int = 5) -> Column:
     return F.expr(f"{pick(f'floor({at})')} + ({at} - floor({at})) * ({pick(f'floor({at}) + 1')} - {pick(f'floor({at})')})")
 
 
+def order_statistics(df: DataFrame, keys: list[str], x: str, wanted: dict[str, tuple[str, int]], buckets: int = 256) -> DataFrame:
+    """(keys..., one column per entry of ``wanted``: name -> (p, definition 1 to 5)).
+
+    Values are counted first. Their running counts come from buckets, by approximate
+    quantiles: the counts of a group's buckets, ``buckets`` at most, are summed up by
+    group, and values only within a bucket, so that no task holds a group. All
+    percentiles are read off in one pass."""
+    rows = df.where(F.col(x).isNotNull()).select(*[F.col(k).alias(f"__k{n}") for n, k in enumerate(keys)], F.col(x).cast("double").alias("__v"))
+    ks = [f"__k{n}" for n in range(len(keys))]
+    counts = rows.groupBy(*ks, "__v").agg(F.count("*").alias("__c"))
+    cuts = rows.select(F.percentile_approx("__v", [k / buckets for k in range(1, buckets)], 4096)).first()[0] or []
+    at = F.array(*map(F.lit, sorted(set(cuts)))) if cuts else F.array().cast("array<double>")
+    counts = counts.withColumn("__b", F.size(F.filter(at, lambda c: c < F.col("__v"))))
+    whole, before = Window.partitionBy(*ks), Window.partitionBy(*ks).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = counts.groupBy(*ks, "__b").agg(F.sum("__c").alias("__s"))
+    sums = sums.select(*[F.col(k).alias(f"{k}_") for k in ks], F.col("__b").alias("__b_"), F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__ahead"), F.sum("__s").over(whole).alias("__n"))
+    same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in ks] + [F.col("__b") == F.col("__b_")]
+    within = Window.partitionBy(*ks, "__b").orderBy("__v")
+    run = counts.join(sums, same).withColumn("__to", F.sum("__c").over(within) + F.col("__ahead"))
+    n, to = F.col("__n"), F.col("__to")
+    nth = lambda k: F.min(F.when(to >= F.greatest(F.lit(1), F.least(k, n)), F.col("__v")))
+    aggs, picks = [], []
+    for j, (name, (p, definition)) in enumerate(wanted.items()):
+        q = F.expr(f"{float(p):.15g}BD")
+        # n * p as a decimal, so that whole products are whole.
+        np_ = ((n + 1) if definition == 4 else n).cast("decimal(20,0)") * q
+        low = F.floor(np_).cast("long")
+        share = (np_ - low).cast("double")
+        first = F.rint(np_.cast("double")).cast("long") if definition == 2 else F.ceil(np_).cast("long") if definition == 3 else low if definition in (1, 4) else F.when(share == 0, low).otherwise(low + 1)
+        second = low + 1 if definition in (1, 4, 5) else first
+        part = share if definition in (1, 4) else F.lit(0.5)
+        aggs += [nth(first).alias(f"__a{j}"), nth(second).alias(f"__z{j}"), F.max(part).alias(f"__w{j}")]
+        picks.append((F.col(f"__a{j}") + F.col(f"__w{j}") * (F.col(f"__z{j}") - F.col(f"__a{j}"))).alias(name))
+    return run.groupBy(*ks).agg(*aggs).select(*[F.col(k).alias(c) for k, c in zip(ks, keys)], *picks)
+
+
 def statistic(name: str, x: str, weight: str | None = None, freq: str | None = None, vardef: str = "df", pctldef: int = 5, alpha: float = 0.05) -> Column:
     """An aggregate of column x. Rows with missing x don't count; a weight weights the
     moments; a frequency counts a row that often (truncated; under 1 not at all)."""
@@ -125,9 +161,15 @@ def means(df: DataFrame, var: list[str], stats=DEFAULT, classes: list[str] = (),
             kind = dict(df.dtypes)[c]
             df = df.where(F.col(c).isNotNull() & (F.rtrim(c) != "") if kind == "string" else F.col(c).isNotNull())
     names = names or {}
+    apart: dict[str, dict[str, tuple[str, int]]] = {}
+    if (nway or not classes) and not weight and not freq:
+        # One grouping set: percentiles come from counted values, beside the other statistics.
+        parts = {s: (PERCENTILES[s], pctldef) for s in stats if s in PERCENTILES}
+        if parts and 1 <= pctldef <= 5:
+            apart = {v: {names.get((v, s), f"{v}_{s}"): w for s, w in parts.items()} for v in var}
     aggs = [F.count("*").alias("_FREQ_") if not freq else F.expr(f"cast(coalesce(sum(floor({freq})), 0) as bigint)").alias("_FREQ_")]
     aggs += [F.max(i).alias(i) for i in id_vars]
-    plain = [(v, s) for v in var for s in stats if s not in ("mode", "prt", "lclm", "uclm")]
+    plain = [(v, s) for v in var for s in stats if s not in ("mode", "prt", "lclm", "uclm") and not (apart and s in PERCENTILES)]
     late = [(v, s) for v in var for s in stats if s in ("mode", "prt", "lclm", "uclm")]
     aggs += [statistic(s, v, weight, freq, vardef, pctldef).alias(names.get((v, s), f"{v}_{s}")) for v, s in plain]
     classes, by = list(classes), list(by)
@@ -156,6 +198,12 @@ def means(df: DataFrame, var: list[str], stats=DEFAULT, classes: list[str] = (),
         q = by_kernel("tq", n, F.lit(0.025), kernel=_tq, kind="n")
         made = by_kernel("prt", F.abs(F.try_divide(m, e)), n, kernel=_prt, kind="n") if s == "prt" else m - q * e if s == "lclm" else m + q * e
         out = out.withColumn(name, made).drop(f"__m_{v}_{s}", f"__e_{v}_{s}", f"__n_{v}_{s}")
+    for v, wanted in apart.items():
+        keys = [*by, *classes]
+        found = order_statistics(df, keys, v, wanted)
+        found = found.withColumnsRenamed({k: f"__q{n}" for n, k in enumerate(keys)})
+        same = [F.col(k).eqNullSafe(F.col(f"__q{n}")) for n, k in enumerate(keys)]
+        out = (out.join(found, same, "left") if keys else out.crossJoin(F.broadcast(found))).drop(*[f"__q{n}" for n in range(len(keys))])  # without keys, a row each
     stat_cols = [names.get((v, s), f"{v}_{s}") for v in var for s in stats]
     return out.select(*by, *classes, "_TYPE_", "_FREQ_", *id_vars, *stat_cols)
 

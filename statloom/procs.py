@@ -116,9 +116,33 @@ def run(session, text: str) -> None:
     handler = globals().get(f"proc_{p.name}")
     if handler is None:
         raise UnsupportedFeature(f"PROC {p.name.upper()}")
+    if p.name in KNOWN:
+        p.only(*map(set, map(str.split, KNOWN[p.name])))
     handler(p)
 
 
+#: Options and statements of each PROC; others end the program.
+_MEANS = "data nway noprint missing vardef pctldef qntldef print order maxdec descending completetypes alpha fw nonobs chartype " + " ".join("n nmiss mean std stddev var min max sum range stderr cv median q1 q3 qrange mode css uss skewness skew kurtosis kurt sumwgt t prt probt clm lclm uclm p1 p5 p10 p20 p25 p30 p40 p50 p60 p70 p75 p80 p90 p95 p99".split())
+KNOWN = {
+    "print": ("data noobs label obs split n double width uniform", "var id by sum"),
+    "sort": ("data out nodupkey nodup noduprecs nodups dupout sortseq equals noequals force tagsort linguistic ascii", "by"),
+    "means": (_MEANS, "var class by weight freq types ways output id"),
+    "summary": (_MEANS, "var class by weight freq types ways output id"),
+    "freq": ("data noprint order", "tables table weight by exact"),
+    "transpose": ("data out prefix suffix name let label delimiter", "by id var copy"),
+    "rank": ("data out ties descending groups fraction percent normal savage", "by var ranks"),
+    "standard": ("data out mean std m s replace noprint print", "by var"),
+    "contents": ("data out noprint varnum order short nods", ""),
+    "compare": ("base data compare comp out criterion method noprint listall briefsummary novalues outnoequal outbase outcomp outdif", "id var with"),
+    "append": ("base out data new force", ""),
+    "tabulate": ("data out format missing", "class var table tables"),
+    "report": ("data out nowd nowindows headline headskip", "column columns define break rbreak"),
+}
+
+#: Options of FREQ's TABLES statement.
+FREQ_TABLES = set("out outcum outpct outexpect missing missprint noprint nocum nopercent norow nocol nofreq list sparse chisq measures fisher exact relrisk riskdiff all agree trend jt cmh cmh1 cmh2 binomial p level alpha expected deviation cellchi2 totpct format printkwt scores testp testf nowarn crosslist".split())
+
+
 def listing(session, df: DataFrame, labels: bool = False, number: bool = False) -> int:
     """Prints a table to the listing: columns padded to their widest value. More than
     PRINT_ROWS rows end the program."""
@@ -249,6 +273,9 @@ def proc_freq(p: Proc) -> None:
     for text in p.st.get("tables", []) + p.st.get("table", []):
         req, _, opts = text.partition("/")
         o = opts.lower()
+        for word in re.findall(r"([a-z_]\w*)(?:\s*=\s*(?:\([^)]*\)|[\w.$]+))?", re.sub(r"\([^)]*\)", " ", o)):
+            if word not in FREQ_TABLES:
+                raise UnsupportedFeature(f"{word.upper()} in TABLES of PROC FREQ")
         out = re.search(r"out\s*=\s*([\w.]+)", opts, re.I)
         for item in re.findall(r"[\w]+(?:\s*\*\s*\w+)*", req):
             cols = [low[c.strip().lower()] for c in item.split("*")]
@@ -592,25 +619,51 @@ def proc_corr(p: Proc) -> None:
 
 
 def proc_univariate(p: Proc) -> None:
-    p.only({"data", "noprint"}, {"var", "class", "output"})
+    p.only({"data", "noprint", "pctldef", "def"}, {"var", "class", "by", "output"})
     df = p.data()
+    by = [b.lstrip("-") for b in p.by(df)]
     classes = p.names("class", df)
-    var = p.names("var", df) or p.numeric(df, classes)
-    if len(var) > 1 and "output" in p.st:
-        raise UnsupportedFeature("OUTPUT of several variables in PROC UNIVARIATE")
-    for v in var:
-        made = univariate.moments(df, v, classes)
-        if not p.flag("noprint"):
-            listing(p.s, made)
-        for text in p.st.get("output", []):
-            out = re.search(r"out\s*=\s*([\w.]+)", text, re.I)[1]
-            pairs = re.findall(r"(\w+)\s*=\s*(\w+)", re.sub(r"out\s*=\s*[\w.]+", "", text, flags=re.I))
-            other = re.sub(r"\w+\s*=\s*[\w.]+", "", text).split() + [k for k, _ in pairs if k.lower() not in _STATS]
-            if other:
-                raise UnsupportedFeature(f"{other[0].upper()} in OUTPUT of PROC UNIVARIATE")
-            stats = tuple(k.lower() for k, _ in pairs)
-            got = summary.means(df, [v], stats, classes=classes, nway=True, names={(v, k.lower()): n for k, n in pairs})
-            p.s.store(out, got.drop("_TYPE_", "_FREQ_"))
+    keys = [*by, *classes]
+    var = p.names("var", df) or p.numeric(df, keys)
+    definition = int(p.opt("pctldef") or p.opt("def") or 5)
+    if not p.flag("noprint"):
+        for v in var:
+            made = univariate.moments(df, v, keys)
+            listing(p.s, made.orderBy(*keys) if keys else made)
+    for text in p.st.get("output", []):
+        out = re.search(r"out\s*=\s*([\w.]+)", text, re.I)[1]
+        body = re.sub(r"out\s*=\s*[\w.]+", "", text, flags=re.I)
+        points = re.search(r"pctlpts\s*=\s*([\d.\s,]+|[\d.]+\s+to\s+[\d.]+(?:\s+by\s+[\d.]+)?)(?=\s*(?:\w+\s*=|$))", body, re.I)
+        heads = re.search(r"pctlpre\s*=\s*((?:\w+\s*(?!\s*=))+?)(?=\s*(?:\w+\s*=|$))", body, re.I)
+        if re.search(r"pctl", body, re.I) and not (points and heads):
+            raise UnsupportedFeature("these PCTL options in OUTPUT of PROC UNIVARIATE")
+        for m in (points, heads):
+            body = body.replace(m[0], " ") if m else body
+        names, stats = {}, []
+        for stat, given in re.findall(r"(\w+)\s*=\s*((?:(?!\b\w+\s*=)[\w\s])*)", body):
+            key, given = stat.lower(), given.split()
+            if key not in _STATS:
+                raise UnsupportedFeature(f"{stat.upper()} in OUTPUT of PROC UNIVARIATE")
+            stats.append(key)
+            names |= {(v, key): n for v, n in zip(var, given)}
+        if left := re.sub(r"\w+\s*=\s*((?:(?!\b\w+\s*=)[\w\s])*)", "", body).split():
+            raise UnsupportedFeature(f"{left[0].upper()} in OUTPUT of PROC UNIVARIATE")
+        hidden = {(v, k): f"__{v}_{k}" for v in var for k in stats if (v, k) not in names}
+        got = summary.means(df, var, tuple(stats), classes=classes, by=by, nway=True, names=names | hidden, pctldef=definition)
+        got = got.select(*[c for c in got.columns if not c.startswith("__") and c not in ("_TYPE_", "_FREQ_")])
+        if points:
+            at = re.findall(r"[\d.]+", points[1])
+            if "to" in points[1].lower():
+                lo, hi, step = (float(x) for x in [*at, "1"][:3])
+                at = [f"{lo + k * step:g}" for k in range(int((hi - lo) / step + 1e-9) + 1)]
+            if clean := classes:
+                df = df.where(" and ".join(f"`{c}` is not null" for c in clean))
+            for v, head in zip(var, heads[1].split()):
+                wanted = {f"{head}{x.replace('.', '_')}": (format(float(x) / 100, ".15g"), definition) for x in at}
+                found = summary.order_statistics(df, keys, v, wanted).withColumnsRenamed({k: f"__q{n}" for n, k in enumerate(keys)})
+                same = [F.col(k).eqNullSafe(F.col(f"__q{n}")) for n, k in enumerate(keys)]
+                got = (got.join(found, same, "left") if keys else got.crossJoin(F.broadcast(found))).drop(*[f"__q{n}" for n in range(len(keys))])  # without keys, a row each
+        p.s.store(out, got.orderBy(*keys) if keys else got)
 
 
 def proc_tabulate(p: Proc) -> None:

@@ -569,3 +569,83 @@ def prog_sql_union(spark, d):
     return program(spark, d, ["customer", "supplier"], """
         proc sql; create table r as select c_nationkey as k, 'customer' as src from customer where c_acctbal > 5000
           union select s_nationkey, 'supplier' from supplier where s_acctbal > 5000; quit;""", "r")
+
+
+@query("""
+with s as (select l_returnflag, l_quantity x, row_number() over (partition by l_returnflag order by l_quantity) i, count(*) over (partition by l_returnflag) n from lineitem),
+g as (select l_returnflag, max(n) n from s group by 1),
+pos as (select l_returnflag, n, n * 0.3 as np, (n + 1) * 0.3 as np1 from g),
+k as (select *, greatest(1, least(n, ceil(np)))::bigint as k3, greatest(1, floor(np))::bigint as k1, least(n, floor(np) + 1)::bigint as k1b, greatest(1, floor(np1))::bigint as k4, least(n, floor(np1) + 1)::bigint as k4b, (np - floor(np))::double as f1, (np1 - floor(np1))::double as f4 from pos),
+x as (select l_returnflag, i, x from s)
+select k.l_returnflag, round(a.x + f1 * (b.x - a.x), 6) as d1, round(c.x, 6) as d3, round(d.x + f4 * (e.x - d.x), 6) as d4
+from k join x a on a.l_returnflag = k.l_returnflag and a.i = k1 join x b on b.l_returnflag = k.l_returnflag and b.i = k1b join x c on c.l_returnflag = k.l_returnflag and c.i = k3
+join x d on d.l_returnflag = k.l_returnflag and d.i = k4 join x e on e.l_returnflag = k.l_returnflag and e.i = k4b""")
+def percentile_defs(spark, d):
+    x = t(spark, d, "lineitem").select("l_returnflag", F.col("l_quantity").alias("x"))
+    return r6(summary.order_statistics(x, ["l_returnflag"], "x", {f"d{k}": ("0.3", k) for k in (1, 3, 4)}))
+
+
+@query("""select l_returnflag, count(l_quantity)::double as n, round(avg(l_quantity), 6) as m, round(stddev_samp(l_extendedprice), 6) as s, round(quantile_disc(l_quantity, 0.105), 6) as p10_5 from lineitem group by 1""")
+def prog_univariate_by(spark, d):
+    return r6(program(spark, d, ["lineitem"], """
+        proc sort data=lineitem; by l_returnflag; run;
+        proc univariate data=lineitem noprint pctldef=3; by l_returnflag; var l_quantity l_extendedprice;
+          output out=u n=n mean=m std=s0 s pctlpts=10.5 pctlpre=p; run;
+        data u; set u; keep l_returnflag n m s p10_5; run;""", "u"))
+
+
+@query(r"""select p_partkey::double as p_partkey, upper(p_name) as up, lower(p_brand) as lo, reverse(p_type) as rev, length(p_name)::double as len, substr(p_type, 2, 4) as sub,
+ instr(p_type, 'A')::double as ix, replace(p_type, 'A', 'oo') as tr, regexp_replace(p_name, ' ', '', 'g') as cmp, split_part(p_name, ' ', 1) as w1,
+ (length(p_type) - length(replace(p_type, 'E', '')))::double as cnt, concat(p_brand, '-', p_type) as cat, repeat(p_brand, 3) as rep, ascii(p_type)::double as rk, chr(ascii(p_type) + 1) as nx,
+ translate(p_brand, '0123456789', 'abcdefghij') as tl, case when starts_with(p_type, 'ST') then 1.0 else 0.0 end as pre, case when contains(p_name, 'a') then 1.0 else 0.0 end as has from part""")
+def prog_fn_character(spark, d):
+    return program(spark, d, ["part"], """
+        data r; set part; length up rev $60 sub $4 tr cat $80 rep $90 tl w1 $40; up = upcase(p_name); lo = lowcase(p_brand); rev = left(reverse(trim(p_type))); len = length(p_name); sub = substr(p_type, 2, 4);
+          ix = index(p_type, 'A'); tr = tranwrd(p_type, 'A', 'oo'); cmp = compress(p_name, ' '); w1 = scan(p_name, 1, ' '); cnt = countc(p_type, 'E'); cat = catx('-', p_brand, p_type);
+          rep = repeat(trim(p_brand), 2); rk = rank(p_type); nx = byte(rank(p_type) + 1); tl = translate(p_brand, 'abcdefghij', '0123456789');
+          pre = (substr(p_type, 1, 2) = 'ST'); has = (find(p_name, 'a') > 0);
+          keep p_partkey up lo rev len sub ix tr cmp w1 cnt cat rep rk nx tl pre has; run;""", "r")
+
+
+@query("""select l_orderkey::double as l_orderkey, l_linenumber::double as l_linenumber, round(abs(x), 6) as a, round(exp(q / 50), 6) as e, round(ln(q), 6) as l, round(log10(q), 6) as l10, round(log2(q), 6) as l2, sign(x)::double as sg,
+ trunc(x)::double as it, ceil(x)::double as ce, floor(x)::double as fl, round(sin(q), 6) as si, round(cos(q), 6) as co, round(tan(q / 100), 6) as ta, round(asin(q / 51), 6) as asn, round(acos(q / 51), 6) as acs, round(atan(q), 6) as at, round(atan2(q, 3.0), 6) as at2,
+ round((exp(q / 50) - exp(-q / 50)) / 2, 6) as sh, round((exp(q / 50) + exp(-q / 50)) / 2, 6) as ch, round(lgamma(q), 6) as lg, greatest(q, x, 7) as mx, least(q, x, 7) as mn, round(q + x + 7, 6) as sm, round((q + x + 7) / 3, 6) as me, round(greatest(q, x, 7) - least(q, x, 7), 6) as rg, 3.0 as nn, 0.0 as nm, q % 7 as md
+ from (select *, l_extendedprice - 30000 as x, l_quantity as q from lineitem)""")
+def prog_fn_numeric(spark, d):
+    return r6(program(spark, d, ["lineitem"], """
+        data r; set lineitem; x = l_extendedprice - 30000; q = l_quantity; a = abs(x); e = exp(q / 50); l = log(q); l10 = log10(q); l2 = log2(q); sg = sign(x); it = int(x); ce = ceil(x); fl = floor(x);
+          si = sin(q); co = cos(q); ta = tan(q / 100); asn = arsin(q / 51); acs = arcos(q / 51); at = atan(q); at2 = atan2(q, 3); sh = sinh(q / 50); ch = cosh(q / 50); lg = lgamma(q);
+          mx = max(q, x, 7); mn = min(q, x, 7); sm = sum(q, x, 7); me = mean(q, x, 7); rg = range(q, x, 7); nn = n(q, x, 7); nm = nmiss(q, x, 7); md = mod(q, 7);
+          drop x q l_partkey l_suppkey l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate; run;""", "r"))
+
+
+@query("""select o_orderkey::double as o_orderkey, month(t)::double as m, day(t)::double as dd, quarter(t)::double as qq, (dayofweek(t) + 1)::double as wd, hour(t)::double as hh, minute(t)::double as mi, second(t)::double as ss,
+ date_diff('day', date '1960-01-01', make_date(year(t), 1, 1))::double as jan, date_diff('month', date '1992-01-01', t::date)::double as months, date_diff('year', date '1990-06-01', t::date)::double as years,
+ date_diff('day', date '1960-01-01', last_day(t::date))::double as eom, date_diff('day', date '1960-01-01', (t::date + interval 3 month)::date)::double as plus3, strftime(t, '%d/%m/%Y') as dmy, strftime(t, '%m/%d/%Y') as mdy
+ from (select *, o_orderdate as t from orders)""")
+def prog_fn_dates(spark, d):
+    return program(spark, d, ["orders"], """
+        data r; set orders; dt = datepart(o_orderdate); m = month(dt); dd = day(dt); qq = qtr(dt); wd = weekday(dt); hh = hour(o_orderdate); mi = minute(o_orderdate); ss = second(o_orderdate);
+          jan = mdy(1, 1, year(dt)); months = intck('month', '01jan1992'd, dt); years = intck('year', '01jun1990'd, dt); eom = intnx('month', dt, 0, 'e'); plus3 = intnx('month', dt, 3, 's');
+          dmy = put(dt, ddmmyy10.); mdy = put(dt, mmddyy10.); keep o_orderkey m dd qq wd hh mi ss jan months years eom plus3 dmy mdy; run;""", "r")
+
+
+@query(r"""select p_partkey::double as p_partkey, case when regexp_matches(p_type, '^[A-Z]+ [A-Z]+') then 1.0 else 0.0 end as ok, regexp_replace(p_name, '[aeiou]', '#', 'g') as sub, regexp_extract(p_brand, '([0-9]+)', 1) as num, case when p_name like '%e%' then 1.0 else 0.0 end as lk from part""")
+def prog_fn_prx(spark, d):
+    return program(spark, d, ["part"], r"""
+        data r; set part; length sub $60 num $8; ok = (prxmatch('/^[A-Z]+ [A-Z]+/', p_type) > 0); sub = prxchange('s/[aeiou]/#/', -1, p_name);
+          num = compress(p_brand, , 'kd'); lk = (index(p_name, 'e') > 0); keep p_partkey ok sub num lk; run;""", "r")
+
+
+@query("""select o_orderstatus, count(*)::double as n, count(distinct o_custkey)::double as custs, round(sum(case when o_totalprice > 100000 then 1 else 0 end), 6)::double as big, round(avg(o_totalprice), 6) as m, min(o_orderpriority) as pri from orders group by 1 having count(*) > 5""")
+def prog_sql_groups(spark, d):
+    return r6(program(spark, d, ["orders"], """
+        proc sql; create table r as select o_orderstatus, count(*) as n, count(distinct o_custkey) as custs, sum(o_totalprice > 100000) as big, mean(o_totalprice) as m, min(o_orderpriority) as pri
+          from orders group by o_orderstatus having count(*) > 5; quit;""", "r"))
+
+
+@query("""select c_custkey::double as c_custkey, case when c_acctbal < 0 then 'neg' when c_acctbal < 5000 then 'mid' else 'top' end as band, (row_number() over (order by c_custkey))::double as obs, 10.0 as total, round(c_acctbal * 1.5, 6) as y from customer""")
+def prog_select_loops(spark, d):
+    return r6(program(spark, d, ["customer"], """
+        data r; set customer; length band $3; select; when (c_acctbal < 0) band = 'neg'; when (c_acctbal < 5000) band = 'mid'; otherwise band = 'top'; end;
+          obs = _n_; total = 0; do i = 1 to 4; total = total + i; end; array z{2} z1-z2; z{1} = c_acctbal; z{2} = z{1} / 2; y = z1 + z2; keep c_custkey band obs total y; run;""", "r"))

@@ -327,9 +327,54 @@ def test_corr_and_univariate_drop_nothing_silently(run):
         "proc univariate data=d normal; var x; run;",
         "proc univariate data=d; var x; histogram x / normal; run;",
         "proc univariate data=d noprint; var x; output out=o mean=m normaltest=k; run;",
-        "proc univariate data=d noprint; var x y; output out=o mean=m n; run;",
     ]
     for text in good:
         s, rc, (o,) = run(data + text, "o")
         assert rc == 0 and o
+    # Several variables take an OUTPUT statistic's names in turn.
+    s, rc, (o,) = run(data + "proc univariate data=d noprint; var x y; output out=o mean=m n; run;", "o")
+    assert rc == 0 and o == [(2.5, 3.0)]
     assert [run(data + text)[1] for text in bad] == [2] * len(bad)
+
+
+@pytest.mark.parametrize("text", [
+    "proc means data=v frobnicate; run;",
+    "proc means data=v; frobnicate x; run;",
+    "proc freq data=v; tables g / frobnicate; run;",
+    "proc univariate data=v; histogram x; run;",
+    "proc univariate data=v noprint; output out=o frobnicate=m; run;",
+    "proc report data=v; column g x; define g / group; compute x; endcomp; run;",
+    "proc sort data=v out=o nodupes; by x; run;",
+    "proc transpose data=v out=o; idlabel g; run;",
+])
+def test_unknown_statements_and_options_end_the_program(spark, text):
+    from statloom.session import Session
+
+    s = Session(spark)
+    s.run("data v; input g $ x; datalines;\na 1\na 2\nb 3\n;\nrun;")
+    assert s.run(text) == 2
+
+
+def test_univariate_by_groups_and_points(spark):
+    from statloom.session import Session
+
+    s = Session(spark)
+    s.run("""data v; input g $ x; datalines;
+a 1
+a 2
+b 3
+b 5
+b 10
+;
+run;
+proc univariate data=v noprint; by g; var x; output out=o mean=m median=md pctlpts=0 to 100 by 50 pctlpre=p; run;""")
+    got = {r["g"]: (r["m"], r["md"], r["p0"], r["p50"], r["p100"]) for r in s.rows("o").collect()}
+    assert got == {"a": (1.5, 1.5, 1.0, 1.5, 2.0), "b": (6.0, 5.0, 3.0, 5.0, 10.0)}
+
+
+@pytest.mark.parametrize("x, back", [(1e80, None), (1e-90, 0.0), (-1e80, None), (1.5e74, 1.5e74), (-2.5, -2.5), (0.0, 0.0)])
+def test_transport_numbers_beyond_the_format(x, back):
+    from statloom.sources import members
+
+    raw = members.float_to_ibm(x)
+    assert raw[0] == 0x2E if back is None else abs(members.ibm_to_float(raw) - back) <= 1e-12 * abs(back)
