@@ -225,7 +225,7 @@ class Session:
         ordered rows in one task."""
         tables = {}
         for name in self._lookups(step):
-            tables[name.lower()] = [r.asDict() for r in self.rows(name).limit(1_000_001).collect()]
+            tables[name.lower()] = [r.asDict() for r in as_values(self.rows(name)).limit(1_000_001).collect()]
             if len(tables[name.lower()]) > 1_000_000:
                 raise UnsupportedFeature(f"a hash or POINT= table of over a million rows: {name}")
         reads = [s for s in step.sources if "point" not in s.options]
@@ -248,7 +248,7 @@ class Session:
         if len(reads) > 1:
             raise UnsupportedFeature("several sources in an interpreted step")
         src = reads[0]
-        df = self.source(src)
+        df = as_values(self.source(src))
         if step.where is not None:
             df = df.where(X.as_bool(X.to_column(step.where, env_of(df, self)), where=True))
         by = plain(src.by)
@@ -415,6 +415,26 @@ def env_of(df: DataFrame, session: Session, arrays=None) -> X.Env:
     return X.Env(cols, session.formats, arrays or {})
 
 
+def as_values(df: DataFrame) -> DataFrame:
+    """Native dates, timestamps and numbers of other kinds as the numbers that steps see;
+    labels and formats stay. Columns of other types are as they are."""
+    from statloom.plans.intervals import sas_date, sas_datetime
+
+    def seen(f):
+        c = F.col(f"`{f.name}`")
+        if f.name == RID:
+            return c
+        if isinstance(f.dataType, T.DateType):
+            c = sas_date(c)
+        elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
+            c = sas_datetime(c)
+        elif not isinstance(f.dataType, (T.NumericType, T.BooleanType)):
+            return c
+        return c.cast("double").alias(f.name, metadata=f.metadata or {})
+
+    return df.select(*map(seen, df.schema))
+
+
 class Declarative:
     """A step of assignments, conditions, filters and outputs over one source as columns.
 

@@ -378,3 +378,13 @@ def test_transport_numbers_beyond_the_format(x, back):
 
     raw = members.float_to_ibm(x)
     assert raw[0] == 0x2E if back is None else abs(members.ibm_to_float(raw) - back) <= 1e-12 * abs(back)
+
+
+def test_interpreted_steps_see_dates_and_times_as_numbers(spark):
+    s = Session(spark)
+    s.store("v", spark.sql("select * from values (1, date'1960-01-03', timestamp'1960-01-01 00:01:00', true), (1, null, null, null), (2, date'1960-02-01', timestamp'1960-01-02 00:00:00', false) as t(k, d, ts, b)"))
+    assert s.run("""data w; set v; by k; retain n first; if first.k then do; n = 0; first = d; end; n = n + 1; last = ts; flag = b; if last.k; keep k n first last flag; run;
+        data h; if _n_ = 1 then do; declare hash g(dataset: 'v'); g.definekey('k'); g.definedata('d'); g.definedone(); end; set w; d = .; rc = g.find(); keep k d rc; run;""") == 0, s.log
+    rows = s.rows("w").select("k", "n", "first", "last", "flag").collect()
+    assert [tuple(r) for r in rows] == [(1, 2, 2, None, None), (2, 1, 31, 86400, 0)]
+    assert [tuple(r) for r in s.rows("h").select("k", "d", "rc").collect()] == [(1, 2, 0), (2, 31, 0)]
