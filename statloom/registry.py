@@ -279,13 +279,12 @@ def standard_z(spark, d):
 
 @query("""
 select coalesce(case when c.k is null then 'BASE' when b.k is null then 'COMPARE' end, 'DIF') as _TYPE_, coalesce(b.k, c.k) as k, b.x as base_x, c.x as comp_x, c.x - b.x as dif_x
-from (select o_orderkey k, o_totalprice x from orders where o_orderkey % 5 <> 0) b full join (select o_orderkey k, case when o_orderkey % 3 = 0 then o_totalprice + 1 else o_totalprice end x from orders where o_orderkey % 4 <> 0) c on b.k = c.k
+from (select o_orderkey k, month(o_orderdate)::double x from orders) b full join (select o_orderkey + 100 k, month(o_orderdate)::double x from orders) c on b.k = c.k
 where b.k is null or c.k is null or b.x <> c.x""")
 def compare_diff(spark, d):
-    o = t(spark, d, "orders")
-    b = o.where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("x"))
-    c = o.where("o_orderkey % 4 <> 0").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")).alias("x"))
-    return shape.compare(b, c, ["k"], ["x"])
+    """Months of all orders beside those of the orders a hundred keys before."""
+    o = t(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.month("o_orderdate").cast("double").alias("x"))
+    return shape.compare(o, o.withColumn("k", F.col("k") + 100), ["k"], ["x"])
 
 
 @query("select o_orderkey, o_custkey, o_totalprice, round(o_totalprice / sum(o_totalprice) over (partition by o_custkey), 6) as share from orders")
@@ -557,11 +556,11 @@ def prog_dates(spark, d):
         data r; set orders; dt = datepart(o_orderdate); day = put(dt, yymmdd10.); y = year(dt); first_day = intnx('month', dt, 0, 'b'); keep o_orderkey day y first_day; run;""", "r")
 
 
-@query("""select region, n from (select 'r1' as region, count(*)::double as n from nation where n_regionkey = 1 union all select 'r2', count(*)::double from nation where n_regionkey = 2 union all select 'r3', count(*)::double from nation where n_regionkey = 3)""")
+@query("""select 'r' || n_regionkey as region, count(*)::double as n from nation group by n_regionkey""")
 def prog_macro_loop(spark, d):
     return program(spark, d, ["nation"], """
-        %macro each(n); %do i = 1 %to &n; proc sql; create table c&i as select "r&i" as region, count(*) as n from nation where n_regionkey = &i; quit; %end; %mend;
-        %each(3) data all; set c1 c2 c3; run;""", "all")
+        %macro each(n); %do i = 0 %to &n; proc sql; create table c&i as select "r&i" as region, count(*) as n from nation where n_regionkey = &i; quit; %end; %mend;
+        %each(4) data all; set c0 c1 c2 c3 c4; run;""", "all")
 
 
 @query("""select c_nationkey::double as k, 'customer' as src from customer where c_acctbal > 5000 union select s_nationkey::double, 'supplier' from supplier where s_acctbal > 5000""")
@@ -649,3 +648,137 @@ def prog_select_loops(spark, d):
     return r6(program(spark, d, ["customer"], """
         data r; set customer; length band $3; select; when (c_acctbal < 0) band = 'neg'; when (c_acctbal < 5000) band = 'mid'; otherwise band = 'top'; end;
           obs = _n_; total = 0; do i = 1 to 4; total = total + i; end; array z{2} z1-z2; z{1} = c_acctbal; z{2} = z{1} / 2; y = z1 + z2; keep c_custkey band obs total y; run;""", "r"))
+
+
+@query("""select p_partkey::double as p_partkey, power(p_size, 2)::double as sq, least(p_size, 25)::double as mn, greatest(p_size, 25)::double as mx, p_brand || '-' || p_type as cc,
+ (p_size > 10 and p_size <= 30)::int::double as chain, starts_with(p_type, 'ST')::int::double as pre, (p_type in ('STANDARD', 'ECONOMY'))::int::double as isin, (p_size in (1, 2, 3, 4, 5, 40))::int::double as rng,
+ (p_size >= 20 or not p_retailprice < 950)::int::double as mn2, (-p_size)::double as neg, (not p_size > 25)::int::double as nt, (p_type <> 'SMALL')::int::double as ne from part""")
+def prog_expressions(spark, d):
+    return program(spark, d, ["part"], """
+        data r; set part; length cc $40; sq = p_size ** 2; mn = p_size >< 25; mx = p_size <> 25; cc = trim(p_brand) || '-' || trim(p_type); chain = 10 < p_size <= 30; pre = (p_type =: 'ST');
+          isin = (p_type in ('STANDARD' 'ECONOMY')); rng = (p_size in (1:5 40)); mn2 = (p_size ge 20 or not (p_retailprice lt 950)); neg = -p_size; nt = ^(p_size > 25); ne = (p_type ne 'SMALL');
+          keep p_partkey sq mn mx cc chain pre isin rng mn2 neg nt ne; run;""", "r")
+
+
+@query("""select c_custkey::double as c_custkey, c_name, c_acctbal from customer where c_name like '%9' and c_acctbal between 0 and 9000 and contains(c_mktsegment, 'I') and c_acctbal is not null and c_nationkey not in (1, 2, 3)""")
+def prog_where_operators(spark, d):
+    return program(spark, d, ["customer"], """
+        data r; set customer; where c_name like '%9' and c_acctbal between 0 and 9000 and c_mktsegment contains 'I' and c_acctbal is not missing and c_nationkey not in (1 2 3); keep c_custkey c_name c_acctbal; run;""", "r")
+
+
+@query("""select n_name, r_name, s_name from nation left join region on n_regionkey = r_regionkey left join supplier on s_nationkey = n_nationkey and s_acctbal > 5000""")
+def prog_sql_left_join(spark, d):
+    return program(spark, d, ["nation", "region", "supplier"], """
+        proc sql; create table r as select n_name, r_name, s_name from nation left join region on n_regionkey = r_regionkey
+          left join supplier on s_nationkey = n_nationkey and s_acctbal > 5000; quit;""", "r")
+
+
+@query("""select coalesce(c_custkey, s_suppkey)::double as k, c_name, s_name from customer full join supplier on c_custkey = s_suppkey and c_nationkey = s_nationkey""")
+def prog_sql_full_join(spark, d):
+    return program(spark, d, ["customer", "supplier"], """
+        proc sql; create table r as select coalesce(c_custkey, s_suppkey) as k, c_name, s_name from customer full join supplier on c_custkey = s_suppkey and c_nationkey = s_nationkey; quit;""", "r")
+
+
+@query("""select a.n_name as left_name, b.n_name as right_name from nation a join nation b on a.n_regionkey = b.n_regionkey and a.n_nationkey < b.n_nationkey""")
+def prog_sql_self_join(spark, d):
+    return program(spark, d, ["nation"], """
+        proc sql; create table r as select a.n_name as left_name, b.n_name as right_name from nation a, nation b where a.n_regionkey = b.n_regionkey and a.n_nationkey < b.n_nationkey; quit;""", "r")
+
+
+@query("""select l_returnflag, round(max(l_quantity) - min(l_quantity), 6) as rg, round(sum(l_quantity * l_quantity), 6) as us, round(var_samp(l_quantity) * (count(l_quantity) - 1), 2) as cs, round(100 * stddev_samp(l_quantity) / avg(l_quantity), 6) as c,
+ round(stddev_samp(l_quantity) / sqrt(count(l_quantity)), 6) as se, round(var_samp(l_quantity), 6) as v, round(stddev_samp(l_quantity), 6) as sd, 0.0 as nm, count(*)::double as f from lineitem group by 1""")
+def prog_sql_statistics(spark, d):
+    return r6(program(spark, d, ["lineitem"], """
+        proc sql; create table r as select l_returnflag, range(l_quantity) as rg, uss(l_quantity) as us, round(css(l_quantity), .01) as cs, cv(l_quantity) as c, stderr(l_quantity) as se, var(l_quantity) as v, std(l_quantity) as sd, nmiss(l_quantity) as nm, freq(l_quantity) as f
+          from lineitem group by l_returnflag; quit;""", "r"))
+
+
+@query("""select o_orderkey::double as o_orderkey, o_totalprice as price, 'big' as kind from orders where o_totalprice > 100000 and o_orderstatus <> 'P'""")
+def prog_outputs(spark, d):
+    return program(spark, d, ["orders"], """
+        data big small(keep=o_orderkey); set orders(rename=(o_totalprice=price)); length kind $5; if o_orderstatus = 'P' then delete; kind = 'small';
+          if price > 100000 then do; kind = 'big'; output big; end; else output small; keep o_orderkey price kind; run;""", "big")
+
+
+@query("""select l_orderkey::double as l_orderkey, l_linenumber::double as l_linenumber, round(sqrt((q*q + x*x + y*y) / 3), 6) as r, round(stddev_samp_, 6) as sd, round(var_, 6) as va, round(cv_, 6) as c, round(q*q + x*x + y*y, 6) as us, round(2 * var_, 6) as cs, round(sqrt(var_ / 3), 6) as se,
+ med as me, mx as big, mn as little, med as ord, round(pow(q * x * y, 1 / 3.0), 6) as gm, round(3 / (1 / q + 1 / x + 1 / y), 6) as hm, q + x + y as sa, round(sqrt(q*q + x*x + y*y), 6) as eu
+ from (select *, (power(q - m, 2) + power(x - m, 2) + power(y - m, 2)) / 2 as var_, sqrt((power(q - m, 2) + power(x - m, 2) + power(y - m, 2)) / 2) as stddev_samp_, 100 * sqrt((power(q - m, 2) + power(x - m, 2) + power(y - m, 2)) / 2) / m as cv_, greatest(q, x, y) as mx, least(q, x, y) as mn, q + x + y - greatest(q, x, y) - least(q, x, y) as med
+ from (select *, (q + x + y) / 3 as m from (select *, l_quantity as q, l_linenumber::double as x, (l_suppkey + 1)::double as y from lineitem)))""")
+def prog_fn_rowstats(spark, d):
+    return r6(program(spark, d, ["lineitem"], """
+        data r; set lineitem; q = l_quantity; x = l_linenumber; y = l_suppkey + 1; r = rms(q, x, y); sd = std(q, x, y); va = var(of q x y); c = cv(q, x, y); us = uss(q, x, y); cs = css(q, x, y); se = stderr(q, x, y);
+          me = median(q, x, y); big = largest(1, q, x, y); little = smallest(1, q, x, y); ord = ordinal(2, q, x, y); gm = geomean(q, x, y); hm = harmean(q, x, y); sa = sumabs(q, x, y); eu = euclid(q, x, y);
+          keep l_orderkey l_linenumber r sd va c us cs se me big little ord gm hm sa eu; run;""", "r"))
+
+
+@query("""select p_partkey::double as p_partkey, round(exp(-0.5 * z * z) / sqrt(2 * pi()), 9) as pn, round(1 - exp(-s / 10), 9) as ce, round(exp(-s / 10) / 10, 9) as pe, round(1 / (1 + exp(-z)), 9) as cl, round(1 - exp(-power(s / 20, 2)), 9) as cw, round(0.5 + atan(z) / pi(), 9) as cc, round(s / 60, 9) as cu,
+ round(exp(s * ln(12.0) - 12 - lgamma(s + 1)), 9) as pp, round(exp(lgamma(61) - lgamma(s + 1) - lgamma(61 - s) + s * ln(0.4) + (60 - s) * ln(0.6)), 9) as pb, round(exp(2 * ln(s) - s - lgamma(3)), 9) as pg, round(-10 * ln(1 - s / 60), 6) as qe, round(exp(lgamma(61) - lgamma(s + 1) - lgamma(61 - s)) / 1e12, 6) as cb, round(lgamma(s + 1), 6) as lf, round(exp(-0.5 * power(ln(s), 2)) / (s * sqrt(2 * pi())), 9) as pl
+ from (select *, p_size::double as s, (p_size - 25) / 10.0 as z from part)""")
+def prog_fn_distributions(spark, d):
+    out = program(spark, d, ["part"], """
+        data r; set part; s = p_size; z = (s - 25) / 10; pn = pdf('normal', z); ce = cdf('expo', s, 10); pe = pdf('expo', s, 10); cl = cdf('logistic', z); cw = cdf('weibull', s, 2, 20); cc = cdf('cauchy', z); cu = cdf('uniform', s, 0, 60);
+          pp = pdf('poisson', s, 12); pb = pdf('binomial', s, .4, 60); pg = pdf('gamma', s, 3); qe = round(quantile('expo', s / 60, 10), .000001); cb = round(comb(60, s) / 1e12, .000001); lf = round(lfact(s), .000001); pl = pdf('lognormal', s);
+          keep p_partkey pn ce pe cl cw cc cu pp pb pg qe cb lf pl; run;""", "r")
+    return out.select(*[F.round(c, 9).alias(c) for c in out.columns])
+
+
+@query("""select p_partkey::double as p_partkey, (p_size & 13)::double as an, (p_size | 8)::double as o, xor(p_size, 21)::double as xo, (p_size << 3)::double as ls, (p_size >> 2)::double as rs, gcd(p_size, 12)::double as g, lcm(p_size, 12)::double as l, sign(p_size - 20)::double as sg, (p_size % 7)::double as mz, round(power(p_size, 1 / 3.0), 6) as cr, (p_size * (p_size - 1))::double as pm, round(p_size / 3.0 - trunc(p_size / 3.0), 6) as fr from part""")
+def prog_fn_bits(spark, d):
+    return r6(program(spark, d, ["part"], """
+        data r; set part; an = band(p_size, 13); o = bor(p_size, 8); xo = bxor(p_size, 21); ls = blshift(p_size, 3); rs = brshift(p_size, 2); g = gcd(p_size, 12); l = lcm(p_size, 12); sg = sign(p_size - 20); mz = modz(p_size, 7); cr = p_size ** (1 / 3); pm = perm(p_size, 2); fr = p_size / 3 - int(p_size / 3);
+          keep p_partkey an o xo ls rs g l sg mz cr pm fr; run;""", "r"))
+
+
+@query("""select p_partkey::double as p_partkey, round(b * power(1.05, s), 4) as cp, round(b * 0.01 / (1 - power(1.01, -s)), 4) as pay, round(100 * (power(1.02, s) - 1) / 0.02 * 1.02, 4) as sv, round(b / 60, 6) as sl, round(-b / 1.1 + b * 2 / power(1.1, 2), 4) as np from (select *, p_size::double as s, p_retailprice as b from part)""")
+def prog_fn_finance(spark, d):
+    out = program(spark, d, ["part"], """
+        data r; set part; b = p_retailprice; cp = compound(b, ., .05, p_size); pay = mort(b, ., .01, p_size); sv = saving(., 100, .02, p_size); sl = depsl(1, b, 60); np = netpv(.1, 1, 0, -b, 2 * b); keep p_partkey cp pay sv sl np; run;""", "r")
+    return out.select("p_partkey", *[F.round(c, 4).alias(c) for c in ("cp", "pay", "sv", "np")], F.round("sl", 6).alias("sl"))
+
+
+@query(r"""select c_custkey::double as c_custkey, upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) as pc, trim(c_name) || '*' as st, '"' || c_mktsegment || '"' as qu, length(regexp_extract(c_name, '^[^0-9]*'))::double + 1 as ad, (case when regexp_matches(c_mktsegment, '[0-9]') then 1 else 0 end)::double as dg, 1.0 as vr, c_name || c_mktsegment as ca,
+ case when c_acctbal > 0 then 'pos' else 'neg' end as ic, case when c_acctbal > 0 then 1.0 else 2.0 end as inn, case c_mktsegment when 'MACHINERY' then 1.0 when 'BUILDING' then 2.0 else 0.0 end as wc, split_part(c_name, '#', 2) as sc, right(c_name, 3) as r3, length(c_mktsegment)::double as ln, 2.0 as cw, instr(c_mktsegment, 'E')::double as ix, regexp_replace(c_name, '[^0-9]', '', 'g') as kd from customer""")
+def prog_fn_character_more(spark, d):
+    return program(spark, d, ["customer"], """
+        data r; set customer; length pc st qu ca sc r3 kd $60 ic $3; pc = propcase(c_mktsegment); st = strip(c_name) || '*'; st = cats(c_name, '*'); qu = quote(trim(c_mktsegment)); ad = anydigit(c_name); dg = (anydigit(c_mktsegment) > 0); vr = verify(c_mktsegment, 'abc'); ca = cats(c_name, c_mktsegment);
+          ic = ifc(c_acctbal > 0, 'pos', 'neg'); inn = ifn(c_acctbal > 0, 1, 2); wc = whichc(c_mktsegment, 'MACHINERY', 'BUILDING'); sc = scan(c_name, 2, '#'); r3 = substr(c_name, length(c_name) - 2); ln = lengthn(c_mktsegment); cw = countw(c_name, '#'); ix = indexc(c_mktsegment, 'E'); kd = compress(c_name, , 'kd');
+          keep c_custkey pc st qu ad dg vr ca ic inn wc sc r3 ln cw ix kd; run;""", "r")
+
+
+@query("""select o_orderkey::double as o_orderkey, lpad(o_custkey::varchar, 8, '0') as z, format('{:,.2f}', o_totalprice) as c, '$' || format('{:,.2f}', o_totalprice) as dl, upper(strftime(o_orderdate, '%d%b%Y')) as dt, upper(strftime(o_orderdate, '%b%Y')) as my, strftime(o_orderdate, '%Y%m%d') as yn, strftime(o_orderdate, '%A') as dn, strftime(o_orderdate, '%B') as mo, printf('%.1f', o_totalprice / 1000000 * 100) || '%' as pc from orders""")
+def prog_put_formats(spark, d):
+    return program(spark, d, ["orders"], """
+        data r; set orders; length z c dl dt my yn dn mo pc $20; day = datepart(o_orderdate); z = put(o_custkey, z8.); c = left(put(o_totalprice, comma14.2)); dl = left(put(o_totalprice, dollar15.2)); dt = put(day, date9.); my = put(day, monyy7.); yn = put(day, yymmddn8.); dn = left(put(day, downame.)); mo = left(put(day, monname.));
+          pc = strip(put(o_totalprice / 1000000, percent9.1)); keep o_orderkey z c dl dt my yn dn mo pc; run;""", "r")
+
+
+@query("""select o_orderkey::double as o_orderkey, o_totalprice as a, o_totalprice as b, date_diff('day', date '1960-01-01', o_orderdate::date)::double as e, date_diff('day', date '1960-01-01', o_orderdate::date)::double as f, (o_custkey % 256)::double as h from orders""")
+def prog_informats(spark, d):
+    return program(spark, d, ["orders"], """
+        data r; set orders; day = datepart(o_orderdate); a = input(put(o_totalprice, comma14.2), comma14.); b = input(put(o_totalprice, 14.2), 14.); e = input(put(day, date9.), date9.); f = input(put(day, yymmdd10.), yymmdd10.); h = input(put(mod(o_custkey, 256), hex2.), hex2.); keep o_orderkey a b e f h; run;""", "r")
+
+
+@query("""select c_mktsegment as seg, count(*)::double as n, 'HIGH' as tag, 7.0 as k, 'b' as w, 3.0 as ln from customer where c_acctbal > 3000 group by 1""")
+def prog_macro_functions(spark, d):
+    return program(spark, d, ["customer"], """
+        %let least = 3000; %let list = a b c;
+        %macro tag(x);%if &x > 1000 %then HIGH;%else LOW;%mend;
+        proc sql; create table r as select c_mktsegment as seg, count(*) as n, "%tag(&least)" as tag, %eval(3 + 4) as k, "%scan(&list, 2)" as w, %length(abc) as ln from customer where c_acctbal > %sysevalf(&least) group by c_mktsegment; quit;""", "r")
+
+
+@query("""select c_custkey::double as c_custkey, (rank() over (order by c_acctbal) + (count(*) over (partition by c_acctbal) - 1) / 2.0)::double as rk from customer""")
+def prog_rank(spark, d):
+    return program(spark, d, ["customer"], "proc rank data=customer out=k; var c_acctbal; ranks rk; run; data k; set k; keep c_custkey rk; run;", "k")
+
+
+@query("""select distinct o_custkey::double as o_custkey, o_orderstatus from orders""")
+def prog_sort_nodupkey(spark, d):
+    return program(spark, d, ["orders"], "proc sort data=orders(keep=o_custkey o_orderstatus) out=k nodupkey; by o_custkey o_orderstatus; run;", "k")
+
+
+@query("""select user_id::double as user_id, count(*)::double as n, round(sum(value), 4) as total, arg_min(event_id, event_id)::double as first_id, arg_max(event_id, event_id)::double as last_id from events group by 1""")
+def prog_retain_by(spark, d):
+    out = program(spark, d, ["events"], """
+        proc sort data=events; by user_id event_id; run;
+        data r; set events; by user_id; retain n total first_id; if first.user_id then do; n = 0; total = 0; first_id = event_id; end; n = n + 1; total = sum(total, value); last_id = event_id; if last.user_id; keep user_id n total first_id last_id; run;""", "r")
+    return out.withColumn("total", F.round("total", 4))
