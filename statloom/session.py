@@ -21,7 +21,7 @@ from statloom.operators.order import RID, key_order, plain, with_rid
 from statloom.plans import expr as X
 from statloom.plans.interp import Interpreter
 from statloom.plans.lexer import ProgramError
-from statloom.plans.step import Source, Step, StepParser
+from statloom.plans.step import Source, Step, StepParser, dataset_list
 
 
 class Session:
@@ -224,9 +224,12 @@ class Session:
         """The step by the row interpreter: on the driver without sources, else over the
         ordered rows in one task."""
         tables = {}
-        for name in self._lookups(step):
-            tables[name.lower()] = [r.asDict() for r in as_values(self.rows(name)).limit(1_000_001).collect()]
-            if len(tables[name.lower()]) > 1_000_000:
+        for text in self._lookups(step):
+            ((name, opts),) = dataset_list(text)
+            df = dataset_options(self.table(name), opts, keep_order=True)
+            df = df.orderBy(RID).drop(RID) if RID in df.columns else df
+            tables[text.lower()] = [r.asDict() for r in as_values(df).limit(1_000_001).collect()]
+            if len(tables[text.lower()]) > 1_000_000:
                 raise UnsupportedFeature(f"a hash or POINT= table of over a million rows: {name}")
         reads = [s for s in step.sources if "point" not in s.options]
         lines = step.datalines
@@ -320,7 +323,7 @@ class Session:
                 if st[0] == "newhash":
                     for a in st[3]:
                         if a[0] == "named" and a[1] == "dataset" and a[2][0] == "str":
-                            names.add(a[2][1].split("(")[0].strip())
+                            names.add(a[2][1].strip())
                 for x in st:
                     if isinstance(x, list):
                         walk([y for y in x if isinstance(y, tuple) and y and isinstance(y[0], str)])

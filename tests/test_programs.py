@@ -388,3 +388,17 @@ def test_interpreted_steps_see_dates_and_times_as_numbers(spark):
     rows = s.rows("w").select("k", "n", "first", "last", "flag").collect()
     assert [tuple(r) for r in rows] == [(1, 2, 2, None, None), (2, 1, 31, 86400, 0)]
     assert [tuple(r) for r in s.rows("h").select("k", "d", "rc").collect()] == [(1, 2, 0), (2, 31, 0)]
+
+
+def test_hash_tables_take_dataset_options(run):
+    _, rc, (w,) = run(
+        """data v; input k x $; datalines;
+        1 a
+        2 b
+        3 a
+        ;
+        data w; length x $1; if _n_ = 1 then do; declare hash h(dataset: "v(where=(x = 'a') rename=(k=key))"); h.definekey('key'); h.definedata('x'); h.definedone(); end;
+          do key = 1 to 3; x = ''; rc = h.find(); output; end; keep key x; stop; run;""",
+        "w",
+    )
+    assert rc == 0 and [(x or "", k) for x, k in w] == [("a", 1), ("", 2), ("a", 3)]
