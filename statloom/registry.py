@@ -782,3 +782,78 @@ def prog_retain_by(spark, d):
         proc sort data=events; by user_id event_id; run;
         data r; set events; by user_id; retain n total first_id; if first.user_id then do; n = 0; total = 0; first_id = event_id; end; n = n + 1; total = sum(total, value); last_id = event_id; if last.user_id; keep user_id n total first_id last_id; run;""", "r")
     return out.withColumn("total", F.round("total", 4))
+
+
+@query("""select l_returnflag, l_linestatus, count(*)::double as n, round(sum(l_quantity), 6) as total, grouping(l_returnflag, l_linestatus)::double as g from lineitem group by cube (l_returnflag, l_linestatus)""")
+def prog_means_types(spark, d):
+    out = program(spark, d, ["lineitem"], """
+        proc means data=lineitem noprint; class l_returnflag l_linestatus; var l_quantity; output out=m n=n sum=total; run;
+        data m; set m; g = 3 - _type_; n = n + 0; drop _type_ _freq_; run;""", "m")
+    return r6(out.withColumns({c: F.when(F.col(c) != "", F.col(c)) for c in ("l_returnflag", "l_linestatus")}).withColumn("n", F.col("n").cast("double")))
+
+
+@query("""select c_custkey::double as k, c_acctbal as bal from customer where c_acctbal > 0 union all select s_suppkey::double, s_acctbal from supplier""")
+def prog_append(spark, d):
+    return program(spark, d, ["customer", "supplier"], """
+        data a; set customer; if c_acctbal > 0; k = c_custkey; bal = c_acctbal; keep k bal; run;
+        data b; set supplier; k = s_suppkey; bal = s_acctbal; keep k bal; run; proc append base=a data=b; run;""", "a")
+
+
+@query("""select c_custkey::double as c_custkey, round(case when c_acctbal < 0 then 0 else c_acctbal * 1.1 end, 6) as c_acctbal from customer where c_mktsegment <> 'BUILDING' union all select -1.0, 5.0""")
+def prog_sql_changes(spark, d):
+    return r6(program(spark, d, ["customer"], """
+        proc sql; create table r as select c_custkey, c_mktsegment, c_acctbal from customer; delete from r where c_mktsegment = 'BUILDING';
+          update r set c_acctbal = case when c_acctbal < 0 then 0 else c_acctbal * 1.1 end; insert into r (c_custkey, c_mktsegment, c_acctbal) values (-1, 'NEW', 5);
+          create table q as select c_custkey, c_acctbal from r; quit;""", "q"))
+
+
+@query("""select c_nationkey::double as k from customer where c_acctbal > 9000 except select s_nationkey::double from supplier where s_acctbal > 8000""")
+def prog_sql_except(spark, d):
+    return program(spark, d, ["customer", "supplier"], """
+        proc sql; create table r as select c_nationkey as k from customer where c_acctbal > 9000 except select s_nationkey from supplier where s_acctbal > 8000; quit;""", "r")
+
+
+@query("""select c_nationkey::double as k from customer where c_acctbal > 5000 intersect select s_nationkey::double from supplier where s_acctbal > 5000""")
+def prog_sql_intersect(spark, d):
+    return program(spark, d, ["customer", "supplier"], """
+        proc sql; create table r as select c_nationkey as k from customer where c_acctbal > 5000 intersect select s_nationkey from supplier where s_acctbal > 5000; quit;""", "r")
+
+
+@query("""select p_partkey::double as p_partkey, (p_size * (p_size + 1) / 2)::double as tri, ceil(log2(p_size))::double as dbl, ((p_size + 1) // 2)::double as odd, case when p_size > 25 then 'big' else 'small' end as lab from part""")
+def prog_loops(spark, d):
+    return program(spark, d, ["part"], """
+        data r; set part; length lab $5; tri = 0; do i = 1 to p_size; tri = tri + i; end; dbl = 0; x = 1; do while (x < p_size); x = x * 2; dbl = dbl + 1; end;
+          odd = 0; do j = 1 to 1000; if j > p_size then leave; if mod(j, 2) = 0 then continue; odd = odd + 1; end; lab = 'small'; if p_size <= 25 then goto done; lab = 'big'; done: ; keep p_partkey tri dbl odd lab; run;""", "r")
+
+
+@query("""select o_custkey::double as o_custkey, max(o_totalprice) filter (where o_orderstatus = 'F') as "F", max(o_totalprice) filter (where o_orderstatus = 'O') as "O", max(o_totalprice) filter (where o_orderstatus = 'P') as "P" from orders group by 1""")
+def prog_transpose(spark, d):
+    return program(spark, d, ["orders"], """
+        proc sql; create table m as select o_custkey, o_orderstatus, max(o_totalprice) as top from orders group by o_custkey, o_orderstatus order by o_custkey, o_orderstatus; quit;
+        proc transpose data=m out=w(drop=_name_); by o_custkey; id o_orderstatus; var top; run;""", "w")
+
+
+@query("""select c_custkey::double as c_custkey, round(10 + 2 * (c_acctbal - avg(c_acctbal) over ()) / stddev_samp(c_acctbal) over (), 6) as c_acctbal from customer""")
+def prog_standard(spark, d):
+    return r6(program(spark, d, ["customer"], "proc standard data=customer(keep=c_custkey c_acctbal) out=z mean=10 std=2; var c_acctbal; run;", "z"))
+
+
+@query("""select k, src from (select c_custkey::double as k, 'c' as src from customer union all select s_suppkey::double, 's' from supplier)""")
+def prog_set_by(spark, d):
+    return program(spark, d, ["customer", "supplier"], """
+        data r; length src $1; set customer(rename=(c_custkey=k) in=a keep=c_custkey) supplier(rename=(s_suppkey=k) in=b keep=s_suppkey); by k; if a then src = 'c'; else src = 's'; keep k src; run;""", "r")
+
+
+@query("""select c_custkey::double as c_custkey, coalesce(s_acctbal, c_acctbal) as bal from customer left join supplier on s_suppkey = c_custkey union all select s_suppkey::double, s_acctbal from supplier where s_suppkey not in (select c_custkey from customer)""")
+def prog_update(spark, d):
+    return program(spark, d, ["customer", "supplier"], """
+        data m; set customer; bal = c_acctbal; keep c_custkey bal; run; data x; set supplier; c_custkey = s_suppkey; bal = s_acctbal; keep c_custkey bal; run;
+        proc sort data=m; by c_custkey; run; proc sort data=x; by c_custkey; run; data r; update m x; by c_custkey; run;""", "r")
+
+
+@query("""select o_orderkey::double as o_orderkey, c_name from orders left join customer on o_custkey = c_custkey""")
+def prog_hash_lookup(spark, d):
+    out = program(spark, d, ["orders", "customer"], """
+        data r; length c_name $30; if _n_ = 1 then do; declare hash h(dataset: 'customer(rename=(c_custkey=o_custkey))'); h.definekey('o_custkey'); h.definedata('c_name'); h.definedone(); end;
+          set orders; rc = h.find(); if rc ne 0 then c_name = ''; keep o_orderkey c_name; run;""", "r")
+    return out.withColumn("c_name", F.when(F.col("c_name") != "", F.col("c_name")))
